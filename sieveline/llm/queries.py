@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from sieveline.llm import mixing
+from sieveline.llm import mixing, simhash
 
 
 def queries():
-    return {"op1_mix": mixing.op1_mix}
+    return {
+        "op1_mix": mixing.op1_mix,
+        "op9_simhash": simhash.op9_simhash,
+    }
 
 
 def oracle_sql():
