@@ -42,6 +42,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession, rows: int = 256, size: str = "4m") -> None:
+    """Texts go to Python workers a few at a time: a batch of 10,000 long documents would fill a worker's memory.
+    Lowers the session's limits and never raises them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= rows:
+        spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list by alternating large-star and small-star rounds.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from sieveline.llm import mixing, simhash
+from sieveline.llm import language, mixing, quality, simhash
 
 
 def queries():
     return {
         "op1_mix": mixing.op1_mix,
+        "op2_language": language.op2_language,
+        "op3_quality": quality.op3_quality,
         "op9_simhash": simhash.op9_simhash,
     }
 
