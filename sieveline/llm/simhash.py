@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import components, read, settle
+from sieveline.llm.common import components, read, settle, small_batches
 
 BITS = 64
 #: Fingerprints of one shard that are searched as one tree.
@@ -183,6 +183,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     (null if a whole component has none); repeated rows each give their row; an empty table gives no rows; other
     columns of docs are ignored.
     """
+    small_batches(docs.sparkSession)
     prints = settle(fingerprints(docs, shingle))
     classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(shard_links(classes.select("fp"), radius))
