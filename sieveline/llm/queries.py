@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveline.llm import language, mixing, quality, simhash
+from sieveline.llm import embedding, language, mixing, quality, simhash, substring
 
 
 def queries():
@@ -10,9 +10,11 @@ def queries():
         "op1_mix": mixing.op1_mix,
         "op2_language": language.op2_language,
         "op3_quality": quality.op3_quality,
+        "op7_substring": substring.op7_substring,
         "op9_simhash": simhash.op9_simhash,
+        "op10_embedding": embedding.op10_embedding,
     }
 
 
 def oracle_sql():
-    return {"op1_mix": mixing.OP1_SQL}
+    return {"op1_mix": mixing.OP1_SQL, "op7_substring": substring.OP7_SQL}
