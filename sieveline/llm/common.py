@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,20 +31,62 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Runs df once and keeps its rows in the shared checkpoint folder, so that later steps neither repeat
-    the work nor depend on one executor's disk. A folder of our own is made only in local mode."""
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share. A folder of our own is made only in local mode."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Runs df once and keeps its rows in the shared checkpoint folder, so that later steps neither repeat the work nor
+    depend on one executor's disk. Spark removes the files once nothing refers to them."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def store(df: DataFrame) -> DataFrame:
+    """settle for wide or long tables: a compressed Parquet table in the same folder, removed when the driver ends."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+
+    def remove():
+        with contextlib.suppress(Exception):  # the session may have ended, and with it its folder
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    atexit.register(remove)
+    return spark.read.parquet(path)
+
+
+#: Bits of the filter that `only` sends to the executors, 1 MiB whatever the number of keys.
+FILTER_BITS = 1 << 23
+
+
+def may_and_cannot(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among keys, and those whose key is not. The first has all that are, and of the others a
+    share that grows from none to all with the number of keys. If only the first are joined, few texts are shuffled for
+    nothing; the filter is broadcast and has a fixed size."""
+    bit = lambda: F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS)) + 1
+    maps = keys.select(bit().alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = rows.withColumns({"bucket": F.bitmap_bucket_number(bit()), "place": F.bitmap_bit_position(bit())}).join(F.broadcast(settle(maps)), "bucket", "left")
+    found = found.withColumn("may", F.coalesce(F.call_function("shiftright", byte, (F.col("place") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False)))
+    found = found.drop("bucket", "place", "bits")
+    return found.where("may").drop("may"), found.where("not may").drop("may")
+
+
+def only(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    return may_and_cannot(rows, keys, on)[0]
+
+
 def small_batches(spark: SparkSession, rows: int = 256, size: str = "4m") -> None:
     """Texts go to Python workers a few at a time: a batch of 10,000 long documents would fill a worker's memory.
     Lowers the session's limits and never raises them."""
