@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import ascii_lower, only, read, settle, words
+from sieveline.llm.common import ascii_lower, may_and_cannot, only, read, settle, words
 
 SHINGLE, RADIUS, LEAST = 5, 20, 0.8
 #: The most item shingles, or items, that are broadcast; beyond it the same joins shuffle.
@@ -111,6 +111,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return best.select("doc_id", "id", "h", "item_id", (-F.col("best.s")).alias("start"), F.col("best.similarity").alias("similarity"))
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that hold no benchmark item; all columns as they are. Edge cases as in find_leaks."""
+    leaks = settle(find_leaks(docs, benchmark).select("id", "h").distinct())
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.coalesce(F.xxhash64("text", F.col("doc_id").isNull()), F.lit(0)).alias("h")]
+    may, cannot = may_and_cannot(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key), leaks, ["id", "h"])
+    return cannot.select("row").unionByName(may.join(leaks, ["id", "h"], "left_anti").select("row")).select("row.*")
+
+
 def op8_decontaminate(spark, sf_dir):
     found = find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.col("start").cast("long").alias("start"), F.round("similarity", 6).alias("similarity"))

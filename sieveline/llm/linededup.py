@@ -14,13 +14,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import may_and_cannot, only, read, settle, store, words
+from sieveline.llm.common import LAST, SPACES, may_and_cannot, only, read, settle, store, words
 
 #: Counters of the rarity order.
 COUNTERS = 1 << 20
 #: Lines with fewer distinct words are kept: they are too short to tell a copy from a coincidence.
 LEAST_WORDS = 5
-LAST = (1 << 63) - 1
 #: The threshold 4/5 in whole numbers: two sets of a and b words reach it if they share at least (4 * (a + b) + 8) div 9.
 OVERLAP = "(4 * ({a} + {b}) + 8) div 9"
 
@@ -128,6 +127,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return both.select(*cols, "n_lines", F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"))
 
 
+def drop_lines(docs: DataFrame) -> DataFrame:
+    """docs with the columns it has, without the lines that dedup_lines removes and without the documents of which it leaves
+    nothing but white space; a column n_chars is counted anew."""
+    out = dedup_lines(docs).where(~((F.col("n_removed") > 0) & (F.btrim("text", F.lit(SPACES)) == "")))
+    return out.select(*[F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
 def op4_lines(spark, sf_dir):
     out = dedup_lines(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "text")

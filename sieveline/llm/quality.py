@@ -175,5 +175,12 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs whose score is at least THRESHOLD; all columns as they are. Edge cases as in quality."""
+    small_batches(docs.sparkSession)
+    scored = score(docs, fit(docs, labels), tuple(docs.columns)).where(F.col("score") >= THRESHOLD)
+    return scored.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def op3_quality(spark, sf_dir):
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

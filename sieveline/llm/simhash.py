@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import components, read, settle, small_batches
+from sieveline.llm.common import LAST, U, components, may_and_cannot, mix, read, settle, small_batches
 
 BITS = 64
 #: Fingerprints of one shard that are searched as one tree.
@@ -195,3 +195,88 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 def op9_simhash(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+#: Fingerprints of a document in `keep_one`, the radius in which one of them must agree, and the most of all their bits that
+#: may differ: two sets of Jaccard similarity 0.8 have a cosine of 8/9, so an expected arccos(8/9) / pi of the bits.
+WIDE, WIDE_RADIUS, WIDE_BITS = 4, 7, 39
+WIDE_CELL = 4096
+
+
+def wide_simhash(text: str | None, size: int) -> list[int]:
+    """WIDE fingerprints as signed longs, from the shingle hashes and hashes of these."""
+    ones, n = np.zeros((WIDE, BITS), np.int64), 0
+    for h in shingle_hashes(text, size):
+        for k in range(WIDE):
+            x = h if k == 0 else mix(h + U(k * 0x9E3779B97F4A7C15 % (1 << 64)))
+            ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.int64)[:, 0].tolist() if n else [0] * WIDE
+
+
+def wide_links(classes: DataFrame, radius: int, most: int, cell: int) -> DataFrame:
+    """classes: node, f (array of WIDE longs). Edges (a, b) that join all pairs of which one fingerprint is within the radius
+    and all bits together differ in `most` at most. Sharded and searched like shard_links, for each fingerprint."""
+    width, rows = BITS // (radius + 1), []
+    for w in range(WIDE):
+        for k in range(radius + 1):
+            bits = BITS - k * width if k == radius else width
+            rows.append(F.struct(F.lit(w).alias("w"), F.lit(k).alias("block"), F.shiftrightunsigned(F.get("f", w), k * width).bitwiseAND(F.lit((1 << bits) - 1)).alias("value")))
+    shards = classes.select("node", "f", F.inline(F.array(*rows)))
+    sizes = shards.groupBy("w", "block", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shards = shards.join(sizes, ["w", "block", "value"]).withColumn("g", F.ceil(F.col("n") / cell).cast("int")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j")))
+    keys = ["w", "block", "value", "i", "j"]
+    cells = shards.select("w", "block", "value", F.inline(pairs), "c", "node", *[F.get("f", k).alias(f"f{k}") for k in range(WIDE)])
+    cells = cells.select(*keys, "c", "node", *[f"f{k}" for k in range(WIDE)]).repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches):
+        for w, _, _, i, j, c, node, *f in grouped(batches, 5):
+            if len(node) < 2:
+                continue
+            f = [x.view(np.uint64) for x in f]
+            t, q = np.flatnonzero(c == i[0]), np.flatnonzero(c == j[0])
+            x, y = bk_links(f[w[0]][t], f[w[0]][q], radius)
+            x, y = q[x], t[y]
+            near = sum(np.bitwise_count(v[x] ^ v[y]).astype(np.int32) for v in f) <= most
+            root = stars(len(node), x[near], y[near])
+            own = np.flatnonzero(root != np.arange(len(node)))
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], ["a", "b"])
+
+    return cells.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, most: int = WIDE_BITS, cell: int = WIDE_CELL) -> DataFrame:
+    """The rows of docs without near-duplicates: of each group of linked documents the one with the smallest doc_id.
+
+    Documents link if their estimated similarity, by WIDE * 64 bits, is that of sets of five-word shingles with a Jaccard
+    similarity of 0.8 or more, and one of their fingerprints is within the radius, which is how they are found.
+
+    Edge cases: null and empty texts are one group; rows without doc_id come after all others; of rows equal in doc_id
+    and text one stays; an empty table gives no rows; all columns are kept as they are.
+    """
+    small_batches(docs.sparkSession)
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.xxhash64("text", F.col("doc_id").isNull()), F.lit(0)).alias("h")]
+
+    def run(batches):
+        for b in batches:
+            f = [wide_simhash(t.as_py(), shingle) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.list_(pa.int64()))], ["id", "h", "f"])
+
+    prints = docs.select(*key, F.col("text").cast("string")).mapInArrow(run, "id bigint, h bigint, f array<bigint>")
+    prints = settle(prints.withColumn("node", F.xxhash64("f")))
+    classes = settle(prints.groupBy("node").agg(F.min(F.struct("id", "h")).alias("first"), F.first("f").alias("f")))
+    roots = components(wide_links(classes.select("node", "f"), radius, most, cell))
+    named = classes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = named.groupBy("root").agg(F.min("first").alias("best"))
+    best = named.join(best, "root").select("node", "best")
+    rows = prints.groupBy("id", "h", "node").agg(F.count(F.lit(1)).alias("n")).join(best, "node")
+    stays = (F.col("best.id") == F.col("id")) & (F.col("best.h") == F.col("h"))
+    # rows that are neither removed nor repeated are not shuffled
+    odd = settle(rows.withColumn("stays", stays).where("n > 1 or not stays").select("id", "h", "stays"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
+    may, cannot = may_and_cannot(whole, odd, ["id", "h"])
+    may = may.join(odd, ["id", "h"], "left").where("stays is null or stays")
+    may = may.where("stays is null").select("row").unionByName(may.where("stays").dropDuplicates(["id", "h"]).select("row"))
+    return cannot.select("row").unionByName(may).select("row.*")
