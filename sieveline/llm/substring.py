@@ -7,8 +7,9 @@ except near their ends. A symbol carries the interval of words that its making l
 interval, then every occurrence of the window has the symbol. A window's anchor is the widest such symbol in it (ties by
 name), or its own fingerprint if it has none, so equal windows always have equal anchors, and no repeat is missed.
 
-Spark then finds the anchors that more than one document has, and only windows under these are compared, by 128-bit
-fingerprints of their words.
+Spark then finds the anchors that more than one document has. Runs of windows under one anchor whose words are the same
+as a whole are one kind, however many documents have it. Only where an anchor has several kinds are their windows
+compared one by one, of one document a kind. All comparisons are of 128-bit fingerprints of the words.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import read, settle, small_batches
+from sieveline.llm.common import only, read, settle, small_batches, store
 
 ROUNDS = 4
 #: The most words under one symbol.
@@ -123,8 +124,8 @@ def symbols(words: np.ndarray, cuts: np.ndarray, rounds: int = ROUNDS, widest: i
 
 
 def anchors(words: np.ndarray, cuts: np.ndarray, window: int):
-    """(segment, first window, last window, name): the anchors of the windows of each segment, each run of windows
-    with the same anchor once."""
+    """(segment, first window, last window, name, r1): the anchors of the windows of each segment, each run of windows
+    with the same anchor once, with a fingerprint of the run's words."""
     ends = np.repeat(cuts[1:], np.diff(cuts))
     at = np.flatnonzero(np.arange(len(words)) + window <= ends)
     sym, s, e, lo, hi = symbols(words, cuts)
@@ -145,33 +146,38 @@ def anchors(words: np.ndarray, cuts: np.ndarray, window: int):
     new = np.concatenate([[True], (name[1:] != name[:-1]) | (seg[1:] != seg[:-1])]) if len(at) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    return seg[first], at[first], at[last], name[first]
-
-
-def _flat(column) -> tuple[np.ndarray, np.ndarray]:
-    return column.flatten().to_numpy(), np.cumsum([0, *column.value_lengths().to_numpy()])
+    return seg[first], at[first], at[last], name[first], ranged(words, at[first], at[last] + window, 1)
 
 
 def find_anchors(docs: DataFrame, window: int) -> DataFrame:
-    """docs: id, h, text. Rows (id, h, name, lo, hi): the windows lo to hi of the text have the anchor."""
+    """docs: id, h, text. Rows (id, h, name, lo, hi, r1, r2): the windows lo to hi of the text have the anchor, and r1 and
+    r2 are a 128-bit fingerprint of their words together."""
 
     def run(batches):
         for b in batches:
             ids, hs = b.column(0).to_numpy(), b.column(1).to_numpy()
-            held, of, off, size = [], [], [], 0
+            held, more, of, off, size = [], [], [], [], 0
 
             def out():
                 cuts = np.cumsum([0, *map(len, held)])
-                seg, lo, hi, name = anchors(np.concatenate(held), cuts, window)
+                seg, lo, hi, name, r1 = anchors(np.concatenate(held), cuts, window)
+                r2 = ranged(np.concatenate(more), lo, hi + window, 0)
                 d = np.array(of)[seg]
                 shift = cuts[seg] - np.array(off)[seg]
-                held.clear(), of.clear(), off.clear()
-                return pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(hs[d]), pa.array(name.view(np.int64)), pa.array((lo - shift).astype(np.int32)), pa.array((hi - shift).astype(np.int32))], ["id", "h", "name", "lo", "hi"])
+                for x in (held, more, of, off):
+                    x.clear()
+                cols = (ids[d], hs[d], name.view(np.int64), (lo - shift).astype(np.int32), (hi - shift).astype(np.int32), r1.view(np.int64), r2.view(np.int64))
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "h", "name", "lo", "hi", "r1", "r2"])
 
             for k, t in enumerate(b.column(2)):
-                words = word_hashes((t.as_py() or "").encode("utf-8", "replace"))
-                for at in range(0, max(0, len(words) - window + 1), SEGMENT - window + 1):
+                data = (t.as_py() or "").encode("utf-8", "replace")
+                words = word_hashes(data, 0)
+                if len(words) < window:
+                    continue
+                others = word_hashes(data, 1)
+                for at in range(0, len(words) - window + 1, SEGMENT - window + 1):
                     held.append(words[at : at + SEGMENT])
+                    more.append(others[at : at + SEGMENT])
                     of.append(k)
                     off.append(at)
                     size += len(held[-1])
@@ -181,50 +187,57 @@ def find_anchors(docs: DataFrame, window: int) -> DataFrame:
             if held:
                 yield out()
 
-    return docs.select("id", "h", "text").mapInArrow(run, "id bigint, h bigint, name bigint, lo int, hi int")
+    return docs.select("id", "h", "text").mapInArrow(run, "id bigint, h bigint, name bigint, lo int, hi int, r1 bigint, r2 bigint")
 
 
-def repeated_windows(shared: DataFrame, window: int) -> DataFrame:
-    """shared: id, h, text and the ranges of windows under shared anchors. Rows (f1, f2, id, h, at), one a window."""
+def window_prints(docs: DataFrame, window: int) -> DataFrame:
+    """docs: id, h, text, runs (name, r1, r2, lo, hi). Rows (f1, f2, name, r1, r2, id, at): a 128-bit fingerprint of the
+    words of each window of the runs; at counts from the run's first window."""
 
     def run(batches):
         for b in batches:
-            ids, hs = b.column(0).to_numpy(), b.column(1).to_numpy()
-            (lo, at), (hi, _) = _flat(b.column(3)), _flat(b.column(4))
+            runs = b.column(3)
+            at = np.cumsum([0, *runs.value_lengths().to_numpy()])
+            name, r1, r2, lo, hi = (runs.flatten().field(k).to_numpy() for k in range(5))
             for k, t in enumerate(b.column(2)):
                 data = t.as_py().encode("utf-8", "replace")
                 one, two = word_hashes(data, 0), word_hashes(data, 1)
-                own = np.zeros(len(one) + 1, np.int64)
-                np.add.at(own, lo[at[k] : at[k + 1]], 1)
-                np.add.at(own, hi[at[k] : at[k + 1]] + 1, -1)
-                pos = np.flatnonzero(np.cumsum(own))
-                f1, f2 = ranged(one, pos, pos + window, 0).view(np.int64), ranged(two, pos, pos + window, 1).view(np.int64)
-                for s in range(0, len(pos), SEGMENT):
-                    p = pos[s : s + SEGMENT]
-                    yield pa.RecordBatch.from_arrays([pa.array(f1[s : s + SEGMENT]), pa.array(f2[s : s + SEGMENT]), pa.array(np.full(len(p), ids[k])), pa.array(np.full(len(p), hs[k])), pa.array(p.astype(np.int32))], ["f1", "f2", "id", "h", "at"])
+                for s in range(at[k], at[k + 1], 4096):
+                    own = np.arange(s, min(s + 4096, at[k + 1]))
+                    sizes = hi[own] - lo[own] + 1
+                    of = np.repeat(own, sizes)
+                    offset = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    pos = lo[of] + offset
+                    cols = (ranged(one, pos, pos + window, 0).view(np.int64), ranged(two, pos, pos + window, 1).view(np.int64), name[of], r1[of], r2[of], np.full(len(of), b.column(0)[k].as_py()), offset.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["f1", "f2", "name", "r1", "r2", "id", "at"])
 
-    return shared.select("id", "h", "text", "lo", "hi").mapInArrow(run, "f1 bigint, f2 bigint, id bigint, h bigint, at int")
+    return docs.select("id", "h", "text", "runs").mapInArrow(run, "f1 bigint, f2 bigint, name bigint, r1 bigint, r2 bigint, id bigint, at int")
 
 
 def remove(marked: DataFrame, window: int, text: bool) -> DataFrame:
-    """marked: id, h, text and the first words of the windows to remove. Rows (id, h, n_removed, kept_sha256, kept)."""
+    """marked: id, h, text and the runs (lo, hi) of windows to remove. Rows (id, h, n_removed, kept_sha256, kept)."""
 
     def run(batches):
         for b in batches:
-            at, cut = _flat(b.column(3))
+            runs = b.column(3)
+            cut = np.cumsum([0, *runs.value_lengths().to_numpy()])
+            lo, hi = (runs.flatten().field(k).to_numpy() for k in range(2))
             rows = []
             for k, t in enumerate(b.column(2)):
                 found = t.as_py().encode("utf-8", "replace").split()
-                pos = np.unique(at[cut[k] : cut[k + 1]])
                 own = np.zeros(len(found) + 1, np.int64)
-                own[pos] += 1
-                np.add.at(own, pos + window, -1)
+                np.add.at(own, lo[cut[k] : cut[k + 1]], 1)
+                np.add.at(own, hi[cut[k] : cut[k + 1]] + window, -1)
                 covered = np.cumsum(own)[:-1] > 0
                 kept = b" ".join([w for w, c in zip(found, covered.tolist(), strict=True) if not c])
                 rows.append((int(covered.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if text else None))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["id", "h", "n_removed", "kept_sha256", "kept"])
 
-    return marked.select("id", "h", "text", "starts").mapInArrow(run, "id bigint, h bigint, n_removed bigint, kept_sha256 string, kept string")
+    return marked.select("id", "h", "text", "runs").mapInArrow(run, "id bigint, h bigint, n_removed bigint, kept_sha256 string, kept string")
+
+
+def _with_text(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    return only(rows.select("id", "h", "text"), keyed, ["id", "h"]).join(keyed, ["id", "h"])
 
 
 def dedup_substrings(docs: DataFrame, window: int = 50, text: bool = False) -> DataFrame:
@@ -240,14 +253,22 @@ def dedup_substrings(docs: DataFrame, window: int = 50, text: bool = False) -> D
     """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), F.col("text").cast("string").alias("text"))
-    found = settle(find_anchors(rows, window))
-    shared = found.groupBy("name").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("name")
-    ranges = found.join(shared, "name").groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("r")).select("id", "h", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
-    some = settle(rows.select("id", "h", "text").join(ranges, ["id", "h"]))
-    windows = settle(repeated_windows(some, window))
-    least = windows.groupBy("f1", "f2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("f1", "f2", "first")
-    marked = windows.join(least, ["f1", "f2"]).where("id > first").groupBy("id", "h").agg(F.collect_list("at").alias("starts"))
-    changed = remove(some.select("id", "h", "text").join(marked, ["id", "h"]), window, text).dropDuplicates(["id", "h"])
+    found = store(find_anchors(rows, window))
+    common = found.groupBy("name").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("name")
+    shared = store(found.join(common, "name"))
+    # runs of windows with equal words are one kind; in all its documents but the first every window is a repeat
+    same = ["name", "r1", "r2"]
+    kinds = settle(shared.groupBy(*same).agg(F.min(F.struct("id", "h", "lo", "hi")).alias("rep")).select(*same, "rep.*"))
+    repeats = shared.join(kinds.select(*same, F.col("id").alias("first")), same).where("id > first").select("id", "h", "lo", "hi")
+    # the first document of a kind can repeat windows of another kind with the same anchor
+    several = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    reps = settle(kinds.join(several, "name").groupBy("id", "h").agg(F.collect_list(F.struct(*same, "lo", "hi")).alias("runs")))
+    prints = settle(window_prints(_with_text(rows, reps), window))
+    least = prints.groupBy("f1", "f2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("f1", "f2", "first")
+    later = prints.join(least, ["f1", "f2"]).where("id > first").select(*same, "id", "at")
+    others = shared.join(later, [*same, "id"]).select("id", "h", (F.col("lo") + F.col("at")).alias("lo"), (F.col("lo") + F.col("at")).alias("hi"))
+    marked = settle(repeats.unionByName(others).groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
+    changed = remove(_with_text(rows, marked), window, text).dropDuplicates(["id", "h"])
 
     def whole(batches):
         for b in batches:
