@@ -21,27 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import only, read, settle, small_batches, store
+from sieveline.llm.common import LAST, U, mix, only, read, settle, small_batches, store
 
 ROUNDS = 4
 #: The most words under one symbol.
 WIDEST = 16
 #: Words parsed at a time; longer texts are parsed in segments that overlap by a window less one word.
 SEGMENT = 1 << 16
-LAST = (1 << 63) - 1
-U = np.uint64
 BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 #: A random-looking value for each byte.
 BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 
@@ -191,14 +182,14 @@ def find_anchors(docs: DataFrame, window: int) -> DataFrame:
 
 
 def window_prints(docs: DataFrame, window: int) -> DataFrame:
-    """docs: id, h, text, runs (name, r1, r2, lo, hi). Rows (f1, f2, name, r1, r2, id, at): a 128-bit fingerprint of the
-    words of each window of the runs; at counts from the run's first window."""
+    """docs: id, h, text, runs (kind, lo, hi). Rows (f1, f2, kind, id, at): a 128-bit fingerprint of the words of each
+    window of the runs; at counts from the run's first window."""
 
     def run(batches):
         for b in batches:
             runs = b.column(3)
             at = np.cumsum([0, *runs.value_lengths().to_numpy()])
-            name, r1, r2, lo, hi = (runs.flatten().field(k).to_numpy() for k in range(5))
+            kind, lo, hi = (runs.flatten().field(k).to_numpy() for k in range(3))
             for k, t in enumerate(b.column(2)):
                 data = t.as_py().encode("utf-8", "replace")
                 one, two = word_hashes(data, 0), word_hashes(data, 1)
@@ -208,10 +199,10 @@ def window_prints(docs: DataFrame, window: int) -> DataFrame:
                     of = np.repeat(own, sizes)
                     offset = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                     pos = lo[of] + offset
-                    cols = (ranged(one, pos, pos + window, 0).view(np.int64), ranged(two, pos, pos + window, 1).view(np.int64), name[of], r1[of], r2[of], np.full(len(of), b.column(0)[k].as_py()), offset.astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["f1", "f2", "name", "r1", "r2", "id", "at"])
+                    cols = (ranged(one, pos, pos + window, 0).view(np.int64), ranged(two, pos, pos + window, 1).view(np.int64), kind[of], np.full(len(of), b.column(0)[k].as_py()), offset.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["f1", "f2", "kind", "id", "at"])
 
-    return docs.select("id", "h", "text", "runs").mapInArrow(run, "f1 bigint, f2 bigint, name bigint, r1 bigint, r2 bigint, id bigint, at int")
+    return docs.select("id", "h", "text", "runs").mapInArrow(run, "f1 bigint, f2 bigint, kind bigint, id bigint, at int")
 
 
 def remove(marked: DataFrame, window: int, text: bool) -> DataFrame:
@@ -262,11 +253,11 @@ def dedup_substrings(docs: DataFrame, window: int = 50, text: bool = False) -> D
     repeats = shared.join(kinds.select(*same, F.col("id").alias("first")), same).where("id > first").select("id", "h", "lo", "hi")
     # the first document of a kind can repeat windows of another kind with the same anchor
     several = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    reps = settle(kinds.join(several, "name").groupBy("id", "h").agg(F.collect_list(F.struct(*same, "lo", "hi")).alias("runs")))
-    prints = settle(window_prints(_with_text(rows, reps), window))
+    reps = settle(kinds.join(several, "name").groupBy("id", "h").agg(F.collect_list(F.struct(F.xxhash64(*same).alias("kind"), "lo", "hi")).alias("runs")))
+    prints = store(window_prints(_with_text(rows, reps), window))
     least = prints.groupBy("f1", "f2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("f1", "f2", "first")
-    later = prints.join(least, ["f1", "f2"]).where("id > first").select(*same, "id", "at")
-    others = shared.join(later, [*same, "id"]).select("id", "h", (F.col("lo") + F.col("at")).alias("lo"), (F.col("lo") + F.col("at")).alias("hi"))
+    later = prints.join(least, ["f1", "f2"]).where("id > first").select("kind", "id", "at")
+    others = shared.withColumn("kind", F.xxhash64(*same)).join(later, ["kind", "id"]).select("id", "h", (F.col("lo") + F.col("at")).alias("lo"), (F.col("lo") + F.col("at")).alias("hi"))
     marked = settle(repeats.unionByName(others).groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
     changed = remove(_with_text(rows, marked), window, text).dropDuplicates(["id", "h"])
 
