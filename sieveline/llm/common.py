@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -28,9 +29,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def words(text: Column) -> Column:
-    """The words of a text in order; an empty array for null and for texts without a word."""
+    """The words of a text in order; an empty array for null and for texts without a word.
+
+    Most texts have single spaces and line feeds only, and are cut at one character, which needs no regular expression.
+    """
+    plain = F.replace(text, F.lit("\n"), F.lit(" "))
+    odd = F.startswith(plain, F.lit(" ")) | F.endswith(plain, F.lit(" ")) | F.contains(plain, F.lit("  "))
+    for c in SPACES.replace(" ", "").replace("\n", ""):
+        odd = odd | F.contains(plain, F.lit(c))
     bare = F.btrim(text, F.lit(SPACES))
-    return F.when(F.coalesce(bare, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP))
+    none = F.array().cast("array<string>")
+    return F.when(F.coalesce(text, F.lit("")) == "", none).when(~odd, F.split(plain, " ")).when(bare == "", none).otherwise(F.split(bare, GAP))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -59,7 +68,16 @@ def settle(df: DataFrame) -> DataFrame:
     """Runs df once and keeps its rows in the shared checkpoint folder, so that later steps neither repeat the work nor
     depend on one executor's disk. Spark removes the files once nothing refers to them."""
     _shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    _release(df.sparkSession)
+    return out
+
+
+def _release(spark: SparkSession) -> None:
+    """Spark drops the shuffle files of a finished step when the driver's collector finds that nothing refers to them, which
+    may take until long after the disks are full. So the collector is asked to look."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def store(df: DataFrame) -> DataFrame:
@@ -68,13 +86,18 @@ def store(df: DataFrame) -> DataFrame:
     path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
 
-    def remove():
-        with contextlib.suppress(Exception):  # the session may have ended, and with it its folder
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _release(spark)
+    out = spark.read.parquet(path)
+    out.stored_at = path
+    atexit.register(discard, out)
+    return out
+
 
-    atexit.register(remove)
-    return spark.read.parquet(path)
+def discard(stored: DataFrame) -> None:
+    """Removes what store has written, once everything made of it has been run."""
+    with contextlib.suppress(Exception):  # the session may have ended, and with it its folder
+        where = stored.sparkSession._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
+        where.getFileSystem(stored.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Bits of the filter that `only` sends to the executors, 1 MiB whatever the number of keys.

@@ -13,21 +13,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import ascii_lower, may_and_cannot, only, read, settle, words
+from sieveline.functions.plan import fixed
+from sieveline.llm.common import may_and_cannot, only, read, settle, words
 
 SHINGLE, RADIUS, LEAST = 5, 20, 0.8
 #: The most item shingles, or items, that are broadcast; beyond it the same joins shuffle.
 BROADCAST_ROWS = 500_000
 
 
-def word_shingles(w: Column) -> Column:
-    """Hashes of the five-word shingles of an array of words, in order."""
-    n = F.size(w)
-    h = hashes(w)
-    two = F.zip_with(F.slice(h, 1, n - 1), F.slice(h, 2, n - 1), lambda a, b: F.xxhash64(a, b))
-    four = F.zip_with(F.slice(two, 1, n - 3), F.slice(two, 3, n - 3), lambda a, b: F.xxhash64(a, b))
-    five = F.zip_with(F.slice(four, 1, n - 4), F.slice(h, 5, n - 4), lambda a, b: F.xxhash64(a, b))
-    return F.when(n >= SHINGLE, five).otherwise(F.array().cast("array<bigint>"))
+def with_shingles(df: DataFrame, text: Column) -> DataFrame:
+    """Adds w, the lower-cased words of the text, and shingles, the hashes of their five-word shingles in order."""
+    df = fixed(df, {"w": words(F.lower(text))})
+    df = fixed(df, {"h1": F.transform("w", lambda x: F.xxhash64(x)), "n": F.size("w")})
+    join = lambda a, b, skip, size: F.zip_with(F.slice(a, 1, F.greatest(F.col("n") - size + 1, F.lit(0))), F.slice(b, skip + 1, F.greatest(F.col("n") - size + 1, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+    df = fixed(df, {"h2": join("h1", "h1", 1, 2)})
+    df = fixed(df, {"h4": join("h2", "h2", 2, 4)})
+    return fixed(df, {"shingles": join("h4", "h1", 4, 5)}).drop("h1", "h2", "h4", "n")
 
 
 def hashes(w: Column) -> Column:
@@ -59,54 +60,61 @@ def blocks(fp: Column) -> Column:
     return F.array(*out)
 
 
-def strings(w: Column, start: Column, n: Column) -> Column:
-    """The shingles of n words from start, as strings."""
-    return F.transform(F.sequence(start, start + n - SHINGLE), lambda i: F.array_join(F.slice(w, i + 1, SHINGLE), " "))
+def strings(w: str) -> Column:
+    """The five-word shingles of an array of at least five words, as strings."""
+    return F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.array_join(F.slice(w, i + 1, SHINGLE), " "))
 
 
-def covered(item: Column, window: Column, n: Column) -> Column:
-    """Of the n words of an item, those in one of its shingles that the window has too."""
-    has = F.transform(item, lambda s: F.array_contains(window, s))
-    inside = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.exists(F.slice(has, F.greatest(i - SHINGLE + 2, F.lit(1)), F.least(i + 1, n - SHINGLE + 1) - F.greatest(i - SHINGLE + 1, F.lit(0))), lambda x: x))
-    return F.size(F.filter(inside, lambda x: x))
+def similarity(pairs: DataFrame) -> DataFrame:
+    """Adds similarity to pairs of item and window (arrays of words): the share of the item's words that lie in one of
+    its shingles which the window has too."""
+    pairs = fixed(pairs, {"of_item": strings("item"), "of_window": strings("window")})
+    pairs = fixed(pairs, {"shared": F.array_intersect("of_item", "of_window")})
+    pairs = fixed(pairs, {"at": F.filter(F.transform("of_item", lambda s, i: F.when(F.array_contains("shared", s), i)), lambda i: i.isNotNull())})
+    # from one shared shingle to the next at most five words are covered
+    pairs = fixed(pairs, {"steps": F.zip_with("at", F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(SHINGLE)), F.lit(SHINGLE)))})
+    covered = F.aggregate("steps", F.lit(0), lambda acc, x: acc + x)
+    return pairs.withColumn("similarity", covered / F.size("item")).drop("of_item", "of_window", "shared", "at", "steps")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs (doc_id, id, h, item_id, start, similarity) of documents and the items they hold, once each: the window with
     the greatest similarity, of those the first. id and h identify the row where doc_id is null or not unique.
 
-    A-Z are lower-cased. Near its ends a text has the part of a window that lies in it.
+    Texts are lower-cased. Near its ends a text has the part of a window that lies in it.
 
     Edge cases: null and empty texts, texts of fewer than five words and items of fewer than five words match nothing; a
     null doc_id or item_id is kept as it is; rows equal in doc_id and text are one document here; an empty table on
     either side gives no rows; texts of any length are searched whole; other columns are ignored.
     """
-    items = benchmark.select("item_id", words(ascii_lower(F.col("text"))).alias("w")).withColumn("size", F.size("w")).where(F.col("size") >= SHINGLE)
-    items = items.withColumn("hashes", hashes(F.col("w")))
-    items = settle(items.select("item_id", F.col("w").alias("item"), "size", simhash(F.col("hashes")).alias("item_fp")))
+    items = with_shingles(benchmark.select("item_id", "text"), F.col("text")).where(F.size("w") >= SHINGLE)
+    items = fixed(items, {"hashes": hashes(F.col("w")), "size": F.size("w")})
+    items = settle(items.select("item_id", F.col("w").alias("item"), "shingles", "size", simhash(F.col("hashes")).alias("item_fp")))
     counts = items.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()
     small = F.broadcast if counts.n <= BROADCAST_ROWS else lambda x: x
-    places = items.select(F.posexplode(word_shingles(F.col("item"))).alias("at", "shingle"), "size").distinct()
+    places = items.select(F.posexplode("shingles").alias("at", "shingle"), "size").distinct()
 
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.coalesce(F.xxhash64("text", F.col("doc_id").isNull()), F.lit(0)).alias("h"), F.col("text"))
-    hits = rows.select("id", "h", F.posexplode(word_shingles(words(ascii_lower(F.col("text"))))).alias("pos", "shingle")).join(small(places), "shingle")
+    # outer, since a filter for empty arrays would make each array a second time
+    each = with_shingles(rows.select("id", "h", "text"), F.col("text")).select("id", "h", F.posexplode_outer("shingles").alias("pos", "shingle"))
+    hits = each.join(small(places), "shingle")
     starts = hits.select("id", "h", "size", (F.col("pos") - F.col("at")).alias("start")).distinct()
     starts = settle(starts.groupBy("id", "h").agg(F.collect_list(F.struct("size", "start")).alias("windows")))
 
     some = only(rows, starts, ["id", "h"]).join(starts, ["id", "h"]).dropDuplicates(["id", "h"])
-    some = some.select("doc_id", "id", "h", words(ascii_lower(F.col("text"))).alias("w"), F.explode("windows").alias("x")).select("*", "x.*")
-    some = some.withColumn("from", F.greatest("start", F.lit(0))).withColumn("n", F.least(F.col("start") + F.col("size"), F.size("w")) - F.col("from")).where(F.col("n") >= SHINGLE)
-    some = some.select("doc_id", "id", "h", "size", "start", F.expr("slice(w, from + 1, n)").alias("window"))
-    some = some.withColumn("hashes", hashes(F.col("window")))
-    some = some.withColumn("fp", simhash(F.col("hashes"))).drop("hashes")
-    index = items.select("*", F.inline(blocks(F.col("item_fp"))))
+    some = some.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "h")
+    some = fixed(some, {"w": words(F.lower(F.col("text")))})
+    some = some.select("doc_id", "id", "h", "w", F.explode("windows").alias("x")).select("doc_id", "id", "h", "w", "x.*")
+    some = fixed(some, {"from": F.greatest("start", F.lit(0)), "to": F.least(F.col("start") + F.col("size"), F.size("w"))}).where(F.col("to") - F.col("from") >= SHINGLE)
+    some = fixed(some, {"window": F.expr("slice(w, from + 1, to - from)")}).drop("w", "from", "to")
+    some = fixed(some, {"hashes": hashes(F.col("window"))})
+    some = fixed(some, {"fp": simhash(F.col("hashes"))}).drop("hashes")
+    index = items.select("item_id", "item", "size", "item_fp", F.inline(blocks(F.col("item_fp"))))
     near = some.select("*", F.inline(blocks(F.col("fp")))).join(small(index), ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     # a pair that agrees in several blocks is taken at the first of them
     same = F.zip_with(blocks(F.col("fp")), blocks(F.col("item_fp")), lambda x, y: x["value"] == y["value"])
     near = near.where(F.col("block") == F.array_position(same, True) - 1)
-    zero = F.lit(0)
-    shared = covered(strings(F.col("item"), zero, F.col("size")), strings(F.col("window"), zero, F.size("window")), F.col("size"))
-    sure = near.withColumn("similarity", shared / F.col("size")).where(F.col("similarity") >= LEAST)
+    sure = similarity(near).where(F.col("similarity") >= LEAST)
     best = sure.groupBy("doc_id", "id", "h", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best"))
     return best.select("doc_id", "id", "h", "item_id", (-F.col("best.s")).alias("start"), F.col("best.similarity").alias("similarity"))
 
@@ -125,9 +133,9 @@ def op8_decontaminate(spark, sf_dir):
 
 
 OP8_SQL = r"""
-WITH i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
 b AS (SELECT item_id, len(w) AS size, j, array_to_string(w[j + 1:j + 5], ' ') AS s FROM (SELECT item_id, w, unnest(range(0, len(w) - 4)) AS j FROM i WHERE len(w) >= 5)),
-t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
 d AS (SELECT doc_id, len(w) AS n, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS p FROM t WHERE len(w) >= 5)),
 h AS (SELECT DISTINCT d.doc_id, d.n, d.p, b.item_id, b.size, b.j FROM d JOIN b ON d.s = b.s),
 x AS (SELECT DISTINCT doc_id, n, item_id, size, p - j AS start FROM h),
