@@ -8,8 +8,10 @@ import sys
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sieveline import config as C
+from sieveline.functions import paths
 from sieveline.operators import report, resolve
 from sieveline.plans import scan as plan
 from sieveline.sources import git
@@ -25,6 +27,8 @@ def findings_of(spark: SparkSession, args, config: C.Config) -> tuple[DataFrame,
         out = files.select("file_path").limit(0).selectExpr("file_path", "'' AS reason")
     else:
         every = read_files(spark, os.pathsep.join(args.paths), "staged" if args.command == "staged" else "folder", recursive=str(args.recursive))
+        if args.command == "scan" and len(args.paths) == 1 and os.path.isdir(args.paths[0]):
+            every = every.withColumn("file_path", paths.relative(F.col("file_path"), F.lit(args.paths[0])))  # what is above the folder says nothing of a file
         kept = plan.prune(every.where("content is not null"), config)
         out = every.where("skipped is not null").selectExpr("file_path", "skipped AS reason").unionByName(plan.skipped(every.where("content is not null"), config))
     found = plan.scan(kept.select("file_path", "content"), config, pruned=True)

@@ -296,7 +296,7 @@ def first_seen_tokens(spark, sf_dir):
     return resolve.first_seen(document_findings(spark, sf_dir)).select("token", "file_path")
 
 
-@query(f"WITH {_SQL_FOUND} SELECT 'MEDIUM' AS severity, 'generic-token-key' AS signature_id, count(*) AS n, count(DISTINCT token) AS n_tokens FROM v UNION ALL SELECT 'MEDIUM', NULL, count(*), count(DISTINCT token) FROM v UNION ALL SELECT NULL, NULL, count(*), count(DISTINCT token) FROM v")
+@query(f"WITH {_SQL_FOUND} SELECT 'MEDIUM' AS severity, 'generic-token-key' AS signature_id, count(*) AS n, count(DISTINCT token) AS n_tokens FROM v HAVING count(*) > 0 UNION ALL SELECT 'MEDIUM', NULL, count(*), count(DISTINCT token) FROM v HAVING count(*) > 0 UNION ALL SELECT NULL, NULL, count(*), count(DISTINCT token) FROM v HAVING count(*) > 0")
 def severity_rollup(spark, sf_dir):
     return report.by_severity_and_rule(document_findings(spark, sf_dir))
 
