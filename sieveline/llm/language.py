@@ -9,8 +9,10 @@ Spark counts words by language, each round spreads each word's count over its se
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ START = "▁"
 PART = 24
 #: Parts whose probabilities a Python worker keeps, and words that it counts, before it starts anew.
 HELD = 200_000
-#: Characters scored at a time.
-BATCH = 1 << 20
+#: Bytes of texts scored at a time.
+BATCH = 1 << 22
 #: The least probability of a piece, and that of a character outside the vocabulary.
 FLOOR, UNKNOWN = 1e-8, 1e-7
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -41,9 +43,13 @@ def vocabulary(path: str) -> list[str]:
     return list(dict.fromkeys(sp.id_to_piece(i).lower() for i in ids))
 
 
+LONG = re.compile(rf"\S{{{PART + 1}}}")
+
+
 def parts(text: str | None) -> list[str]:
-    found = (text or "").lower().split()
-    return [w[k : k + PART] for w in found for k in range(0, len(w), PART)] if any(len(w) > PART for w in found) else found
+    low = (text or "").lower()
+    found = low.split()
+    return [w[k : k + PART] for w in found for k in range(0, len(w), PART)] if LONG.search(low) else found
 
 
 class Lattice:
@@ -51,33 +57,56 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.size = len(pieces)  # id size: a character outside the vocabulary; size + 1: no piece
+        none = self.size + 1
+        self.single = np.full(1 << 21, self.size, np.int32)  # by code point
+        # by length: hashes of the beginnings of pieces, and the id of the piece that each is, if it is one
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        by: dict[int, list[int]] = {}
+        starts: dict[int, dict[str, int]] = {}
         for i, p in enumerate(pieces):
-            by.setdefault(len(p), []).append(i)
-        for n, ids in by.items():
-            codes = np.array([pieces[i] for i in ids], f"U{n}").view(np.uint32).reshape(-1, n).astype(np.uint64)
-            h = np.zeros(len(ids), np.uint64)
+            for n in range(2, len(p)):
+                starts.setdefault(n, {}).setdefault(p[:n], none)
+            if len(p) == 1:
+                self.single[ord(p)] = i
+            else:
+                starts.setdefault(len(p), {})[p] = i
+        for n, own in starts.items():
+            codes = np.array(list(own), f"U{n}").view(np.uint32).reshape(-1, n).astype(np.uint64)
+            h = np.zeros(len(own), np.uint64)
             for k in range(n):
                 h = h * BASE + codes[:, k]
             order = np.argsort(h)
-            self.tables[n] = h[order], np.array(ids, np.int32)[order]
+            self.tables[n] = h[order], np.fromiter(own.values(), np.int32, len(own))[order]
 
     def edges(self, words: list[str], length: int) -> list[list[tuple[int, np.ndarray]]]:
-        """For each end position, the (start, piece id of each word) of the pieces that end there."""
-        codes = np.array([START + w for w in words], f"U{length}").view(np.uint32).reshape(len(words), length).astype(np.uint64)
+        """For each end position, the (start, piece id of each word) of the pieces that end there. Longer pieces are only
+        looked for where their beginnings were found."""
+        codes = np.array([START + w for w in words], f"U{length}").view(np.uint32).reshape(len(words), length)
         found: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(length + 1)]
-        h = np.zeros((len(words), length), np.uint64)
-        for n in range(1, length + 1):
-            h = h[:, : length - n + 1] * BASE + codes[:, n - 1 :]
-            if n not in self.tables:
-                continue
+        first = self.single[codes]
+        for s in range(length):
+            found[s + 1].append((s, first[:, s]))
+        codes = codes.astype(np.uint64)
+        # places that are still the beginning of some piece, start by start
+        s, w = (x.ravel() for x in np.indices((length, len(words))))
+        h = codes.T.ravel().copy()
+        for n in range(2, length + 1):
+            if n not in self.tables or not len(s):
+                break
+            fits = s + n <= length
+            s, w, h = s[fits], w[fits], h[fits]
+            h = h * BASE + codes[w, s + n - 1]
             keys, ids = self.tables[n]
-            at = np.searchsorted(keys, h.ravel()).clip(0, len(keys) - 1)
-            got = np.where(keys[at] == h.ravel(), ids[at], self.size if n == 1 else self.size + 1).reshape(h.shape)
-            for s in range(length - n + 1):
-                if n == 1 or (got[:, s] <= self.size).any():
-                    found[s + n].append((s, got[:, s]))
+            at = np.searchsorted(keys, h).clip(0, len(keys) - 1)
+            alive = keys[at] == h
+            s, w, h, got = s[alive], w[alive], h[alive], ids[at[alive]]
+            is_piece = got <= self.size
+            cuts = np.searchsorted(s, np.arange(length + 1))
+            for k in range(length - n + 1):
+                own = slice(cuts[k], cuts[k + 1])
+                if is_piece[own].any():
+                    column = np.full(len(words), self.size + 1, np.int32)
+                    column[w[own]] = got[own]
+                    found[k + n].append((k, column))
         return found
 
     def forward(self, edges, table: np.ndarray) -> list[np.ndarray]:
@@ -116,6 +145,19 @@ def by_length(found: list[str], most: int = 20_000):
             yield n + 1, at[k : k + most]
 
 
+def gathered(batches, size, most: int):
+    """Tables of consecutive batches whose sizes together reach `most`: numpy is slow on a few words at a time."""
+    held, total = [], 0
+    for b in batches:
+        held.append(b)
+        total += size(b)
+        if total >= most:
+            yield pa.Table.from_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """lang, word, n over the texts of all rows; rows without lang or text count nothing."""
 
@@ -154,9 +196,9 @@ def fit(docs: DataFrame, path: str = VOCABULARY, rounds: int = 2) -> tuple[list[
         def run(batches, table=table):
             net = lattice(pieces)
             sums = np.zeros((len(langs), len(pieces) + 2))
-            for b in batches:
-                of = np.array([langs.index(x) for x in b.column(0).to_pylist()], np.int64)
-                found, n = b.column(1).to_pylist(), b.column(2).to_numpy().astype(float)
+            for t in gathered(batches, lambda b: b.num_rows, HELD):
+                of = np.array([langs.index(x) for x in t.column(0).to_pylist()], np.int64)
+                found, n = t.column(1).to_pylist(), t.column(2).to_numpy().astype(float)
                 for k in np.unique(of).tolist():
                     own = np.flatnonzero(of == k)
                     for length, at in by_length([found[i] for i in own]):
@@ -175,7 +217,7 @@ def fit(docs: DataFrame, path: str = VOCABULARY, rounds: int = 2) -> tuple[list[
 
 
 def predict(docs: DataFrame, langs: list[str], pieces: tuple[str, ...], table: np.ndarray) -> DataFrame:
-    """All columns of docs named in keep order: doc_id, lang_pred, score (the share of the best language's probability)."""
+    """doc_id, lang_pred, score (the share of the best language's probability)."""
 
     def run(batches):
         net, held, logs = lattice(pieces), {}, np.zeros((0, len(langs)))
@@ -183,30 +225,30 @@ def predict(docs: DataFrame, langs: list[str], pieces: tuple[str, ...], table: n
         def score(texts):
             nonlocal logs
             words = [parts(t) for t in texts]
+            flat = list(chain.from_iterable(words))
             if len(held) > HELD:
                 held.clear()
                 logs = logs[:0]
-            new = list({w for x in words for w in x if w not in held})
+            new = list(set(flat) - held.keys())
             more = np.empty((len(new), len(langs)))
             for length, at in by_length(new):
                 more[at] = np.log(np.maximum(net.forward(net.edges([new[i] for i in at], length), table)[-1], 1e-300))
             held.update(zip(new, range(len(logs), len(logs) + len(new)), strict=True))
             logs = np.concatenate([logs, more])
-            for t, x in zip(texts, words, strict=True):
+            ends = np.cumsum([len(x) for x in words])
+            sums = np.concatenate([np.zeros((1, len(langs))), np.cumsum(logs[np.fromiter(map(held.__getitem__, flat), np.int64, len(flat))], 0)])
+            totals = sums[ends] - sums[ends - [len(x) for x in words]]
+            best = totals.argmax(1) if langs else None
+            share = 1 / np.exp(totals - totals.max(1, keepdims=True)).sum(1) if langs else None
+            for k, t in enumerate(texts):
                 if not langs or not any(map(str.isalpha, t or "")):
                     yield "und", 0.0
                 else:
-                    total = logs[[held[w] for w in x]].sum(0)
-                    yield langs[int(total.argmax())], round(float(1 / np.exp(total - total.max()).sum()), 6)
+                    yield langs[best[k]], round(float(share[k]), 6)
 
-        for b in batches:
-            texts, done, at, size = b.column(1).to_pylist(), [], 0, 0
-            for k, t in enumerate(texts):
-                size += len(t or "")
-                if size > BATCH or k == len(texts) - 1:
-                    done += score(texts[at : k + 1])
-                    at, size = k + 1, 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.float64())], ["doc_id", "lang_pred", "score"])
+        for t in gathered(batches, lambda b: b.column(1).nbytes, BATCH):
+            done = list(score(t.column(1).to_pylist()))
+            yield from pa.table([t.column(0), pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.float64())], ["doc_id", "lang_pred", "score"]).to_batches()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
