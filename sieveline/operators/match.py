@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.catalog import Signature, names_value
-from sieveline.functions import paths
 from sieveline.functions import strings as S
 from sieveline.functions.plan import fixed
 
@@ -28,23 +27,36 @@ def literal(sigs: list[Signature]) -> Column:
     return F.array(*[one(k, s) for k, s in enumerate(sigs)])
 
 
-def any_prefix(text: Column, sigs: list[Signature]) -> Column:
-    """One expression for all prefixes, which most lines fail."""
-    return text.rlike("(?i)" + paths.any_of(sorted({s.prefix for s in sigs})))
-
-
-def occurrences(text: Column, sigs: list[Signature]) -> Column:
-    """All occurrences of all prefixes, without regard to ASCII case, overlapping ones included: structs (stop, shorter, ord,
-    start, sig) in order of end, longest prefix first, then signature; start and stop are 1-based and inclusive."""
-    low = S.ascii_lower(text)
-
-    def of(sig: Column) -> Column:
-        n = F.length(sig["low"])
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: low.substr(i, n) == sig["low"])
-        return F.transform(starts, lambda i: F.struct((i + n - 1).alias("stop"), (-n).alias("shorter"), sig["ord"].alias("ord"), i.alias("start"), sig.alias("sig")))
-
-    held = F.filter(literal(sigs), lambda sig: F.contains(low, sig["low"]))
-    return F.array_sort(F.flatten(F.transform(held, of)))
+def any_prefix(low: Column, sigs: list[Signature]) -> Column:
+    """Whether some prefix occurs, which is false for most lines. low: the text in lower case, as a column and not as an
+    expression, since it is looked at once for each of the shortest prefixes; a prefix that holds another adds nothing."""
+    prefixes = {s.prefix.lower() for s in sigs}
+    short = sorted(p for p in prefixes if not any(q != p and q in p for q in prefixes))
+    out = F.contains(low, F.lit(short[0]))
+    for p in short[1:]:
+        out = out | F.contains(low, F.lit(p))
+    return out
+
+
+def overlaps_itself(prefix: str) -> bool:
+    return any(prefix.endswith(prefix[:k]) for k in range(1, len(prefix)))
+
+
+def occurrences(df: DataFrame, text: str, sigs: list[Signature]) -> DataFrame:
+    """A row for each occurrence of each prefix in the text, without regard to ASCII case, overlapping ones included: sig, start
+    and stop (1-based, inclusive) and seq, which orders those of a text by end, then longest prefix, then signature."""
+    df = fixed(df, {"low_": S.ascii_lower(F.col(text))})
+    df = fixed(df, {"held_": F.filter(literal(sigs), lambda sig: F.contains("low_", sig["low"]))}).withColumn("sig", F.explode_outer("held_")).drop("held_").where("sig is not null")
+    n = F.length("sig.low")
+    parts = F.transform(F.split("low_", F.concat(F.lit("\\Q"), "sig.low", F.lit("\\E")), -1), F.length)
+    df = fixed(df, {"parts_": parts, "n_": n})
+    # where one occurrence can begin in another, every place is tried; else what lies between them tells where they are
+    each = F.filter(F.sequence(F.lit(1), F.length("low_") - F.col("n_") + 1), lambda i: F.col("low_").substr(i, F.col("n_")) == F.col("sig.low"))
+    between = F.transform(F.sequence(F.lit(1), F.size("parts_") - 1), lambda k: F.aggregate(F.slice("parts_", 1, k), F.lit(1), lambda acc, x: acc + x) + (k - 1) * F.col("n_"))
+    selves = [s.prefix.lower() for s in sigs if overlaps_itself(s.prefix.lower())]
+    df = df.withColumn("start", F.explode_outer(F.when(F.col("sig.low").isin(selves), each).otherwise(between) if selves else between))
+    df = fixed(df, {"stop": F.col("start") + F.col("n_") - 1}).drop("low_", "parts_")
+    return df.withColumn("seq", F.col("stop") * (1 << 18) + (255 - F.least("n_", F.lit(255))) * (1 << 10) + F.least("sig.ord", F.lit(1023))).drop("n_")
 
 
 def stands_alone(text: Column, start: Column) -> Column:

@@ -251,8 +251,8 @@ def signature_table(spark, sf_dir):
 def _occurrences(spark, sf_dir):
     url = table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), "page_id").alias("place"), F.col("url").alias("text"))
     text = document_lines(spark, sf_dir).select(F.concat(F.lit("doc "), "doc_id", F.lit(" "), "line_no").alias("place"), F.col("raw").alias("text"))
-    rows = url.unionByName(text).where(match.any_prefix(F.col("text"), signatures()))
-    return rows.select("place", "text", F.explode_outer(match.occurrences(F.col("text"), signatures())).alias("m")).select("place", "text", "m.start", "m.stop", "m.sig.id")
+    rows = fixed(url.unionByName(text), {"low": F.lower("text")}).where(match.any_prefix(F.col("low"), signatures()))
+    return match.occurrences(rows, "text", signatures()).select("place", "text", "start", "stop", "sig.id")
 
 
 _SQL_PLACES = f"""{SQL_LINES}, x AS (SELECT 'page ' || page_id AS place, url AS text FROM pages UNION ALL SELECT 'doc ' || doc_id || ' ' || line_no, raw FROM l), {_SQL_SIGS},

@@ -47,7 +47,7 @@ def lines_of(files: DataFrame, config: Config) -> DataFrame:
     rows = lines.scanned(files.select("file_path", "content").withColumns({c: x for c, x in zip(("is_source", "is_netrc", "no_entropy", "is_test"), lines.file_flags(F.col("file_path")), strict=True)}), config.marker)
     rows = fixed(rows, {"v_": S.secret_value(F.col("trim"), F.col("is_source"))})
     rows = fixed(rows, {"target": F.coalesce(S.strip(F.col("v_.value")), F.col("trim")), "assigned": F.col("v_.assigned")}).drop("v_")
-    return fixed(rows, {"compact": S.compact(F.col("target"))})
+    return fixed(rows, {"compact": S.compact(F.col("target")), "low": F.lower("trim")})
 
 
 def threshold(trim: Column, assigned: Column, default: float) -> Column:
@@ -93,8 +93,8 @@ def _allowed(found: DataFrame, config: Config) -> DataFrame:
 def pattern_pass(rows: DataFrame, text: str, which: int, config: Config) -> DataFrame:
     """Candidates of signatures in a text column of the lines."""
     sigs = config.all_signatures()
-    some = rows.where(match.any_prefix(F.col(text), sigs))
-    some = some.select("*", F.posexplode(match.occurrences(F.col(text), sigs)).alias("at", "m")).select("*", F.col("m.sig").alias("sig"), F.col("m.start").alias("start"), F.col("m.stop").alias("stop"))
+    some = (rows if which == resolve.LINE else fixed(rows, {"low": F.lower(text)})).where(match.any_prefix(F.col("low"), sigs))
+    some = match.occurrences(some, text, sigs)
     free = F.startswith("sig.prefix", F.lit("_")) if which == resolve.LINE else F.lit(False)
     some = match.extract(some.where(free | match.stands_alone(F.col(text), F.col("start"))), text, "sig", "start", "stop").where("token != ''")
     token, sig = F.col("token"), F.col("sig.id")
@@ -104,7 +104,7 @@ def pattern_pass(rows: DataFrame, text: str, which: int, config: Config) -> Data
     return some.select(
         *KEYS,
         F.lit(which).alias("pass"),
-        F.col("at").alias("seq"),
+        F.col("seq"),
         S.clean_token(token).alias("token"),
         E.shannon(token).alias("entropy"),
         F.lit("PATTERN").alias("tier"),
@@ -183,7 +183,7 @@ def scan(files: DataFrame, config: Config = Config(), pruned: bool = False) -> D
     if config.patterns:
         sigs = config.all_signatures()
         passes.append(pattern_pass(rows, "trim", resolve.LINE, config))
-        unmatched = rows.where((F.length("compact") > 0) & (F.length("compact") < F.length("target")) & ~match.any_prefix(F.col("trim"), sigs))
+        unmatched = rows.where((F.length("compact") > 0) & (F.length("compact") < F.length("target")) & ~match.any_prefix(F.col("low"), sigs))
         passes.append(pattern_pass(unmatched, "compact", resolve.COMPACT, config))
         opened = fixed(rows, {"decoded": S.decoded(F.col("compact"))}).where("decoded is not null")
         passes.append(pattern_pass(opened, "decoded", resolve.DECODED, config))
