@@ -28,18 +28,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def words(text: Column) -> Column:
+def words(text: Column, one_line: bool = False) -> Column:
     """The words of a text in order; an empty array for null and for texts without a word.
 
     Most texts have single spaces and line feeds only, and are cut at one character, which needs no regular expression.
+    one_line: the text has no line feed.
     """
-    plain = F.replace(text, F.lit("\n"), F.lit(" "))
-    odd = F.startswith(plain, F.lit(" ")) | F.endswith(plain, F.lit(" ")) | F.contains(plain, F.lit("  "))
-    for c in SPACES.replace(" ", "").replace("\n", ""):
-        odd = odd | F.contains(plain, F.lit(c))
-    bare = F.btrim(text, F.lit(SPACES))
-    none = F.array().cast("array<string>")
-    return F.when(F.coalesce(text, F.lit("")) == "", none).when(~odd, F.split(plain, " ")).when(bare == "", none).otherwise(F.split(bare, GAP))
+    odd = (text == "") | F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" ")) | F.contains(text, F.lit("  "))
+    for c in "\t\x0b\f\r":
+        odd = odd | F.contains(text, F.lit(c))
+    if not one_line:
+        for c in ("\n ", " \n", "\n\n"):
+            odd = odd | F.contains(text, F.lit(c))
+        odd = odd | F.startswith(text, F.lit("\n")) | F.endswith(text, F.lit("\n"))
+    plain = text if one_line else F.replace(text, F.lit("\n"), F.lit(" "))
+    some = F.filter(F.split(text, GAP), lambda w: w != "")
+    return F.when(text.isNull(), F.array().cast("array<string>")).when(~odd, F.split(plain, " ")).otherwise(some)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,93 +1,141 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
-A line is the set of its words; lines with the same set are one class. Words are ordered by rarity, by counts of all
+A line is the set of its words; lines with the same set are one class. Words are ordered by rarity, by counts over all
 lines in a table of a fixed size (words that share a counter only make the order, and so the speed, worse). Two sets
 whose Jaccard similarity reaches the threshold share a word among the first few of each (prefix filter), are of
-similar length (length filter), have enough words left after the first they share (positional filter), and differ
-in few bits of a 64-bit parity map of their words. Pairs that pass are verified on the words themselves. A line is
+similar length (length filter), have enough words left after the ones they share (positional filter), and differ
+in few bits of a 128-bit parity map of their words; long lines must share several rare words, of prefixes longer by as many. Pairs that pass are verified on the words themselves. A line is
 removed if an earlier line matches it; all filters are exact, so no match is missed.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import LAST, SPACES, may_and_cannot, only, read, settle, store, words
+from sieveline.functions.plan import fixed
+from sieveline.llm.common import LAST, SPACES, discard, may_and_cannot, only, read, settle, store, words
 
-#: Counters of the rarity order.
-COUNTERS = 1 << 20
+#: Counters of the rarity order, a power of two.
+COUNTERS = 1 << 18
 #: Lines with fewer distinct words are kept: they are too short to tell a copy from a coincidence.
 LEAST_WORDS = 5
 #: The threshold 4/5 in whole numbers: two sets of a and b words reach it if they share at least (4 * (a + b) + 8) div 9.
 OVERLAP = "(4 * ({a} + {b}) + 8) div 9"
+#: Rare words that similar lines must share, by the number of words of the shorter: prefixes are longer by so many.
+SHARED = "(1 + {} div 32)"
 
 
 def lines(rows: DataFrame) -> DataFrame:
-    """rows: id, h, text. Adds line_no, set (distinct words), hashes, n, for lines of enough words."""
-    each = rows.select("id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    each = each.select("id", "h", "line_no", F.array_distinct(words(F.col("line"))).alias("set")).withColumn("n", F.size("set"))
-    return each.where(F.col("n") >= LEAST_WORDS).withColumn("hashes", F.sort_array(F.transform("set", lambda w: F.xxhash64(w))))
-
-
-def keyed(each: DataFrame) -> DataFrame:
-    return each.withColumns({"k1": F.xxhash64("hashes"), "k2": F.xxhash64(F.lit(7), "hashes")})
+    """rows: id, h, text. One row for each line of enough words: line_no, n (distinct words), tokens (a 31-bit hash of each) and
+    k1, k2, a 128-bit hash of the set."""
+    # outer, since filters for empty arrays would make each array a second time
+    each = rows.select("id", "h", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    each = fixed(each, {"hashes": F.sort_array(F.array_distinct(F.transform(words(F.col("line"), True), lambda w: F.xxhash64(w))))}).drop("line")
+    each = each.where(F.size("hashes") >= LEAST_WORDS)
+    tokens = F.transform("hashes", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    return each.select("id", "h", "line_no", F.size("hashes").alias("n"), F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"), tokens.alias("tokens"))
 
 
 def rarity(each: DataFrame) -> Column:
-    """COUNTERS bytes, a level for each: of the count c of the word hashes x with pmod(x, COUNTERS) there, six levels for each
-    doubling, 0 for a single one. The table, of a fixed size, is a literal of the plan."""
-    level = F.least(F.lit(126), F.floor(6 * F.log2("c")).cast("int")) + 1
-    seen = each.select(F.explode("hashes").alias("x")).groupBy(F.pmod("x", F.lit(COUNTERS)).alias("at")).agg(F.count(F.lit(1)).alias("c")).select("at", level.alias("level"))
-    got = seen.toArrow()
-    table = np.zeros(COUNTERS, np.uint8)
+    """COUNTERS levels, as an array literal: of the count of the tokens x with x & (COUNTERS - 1) there six levels a
+    doubling, 0 for a single one. Its size is fixed."""
+    level = F.least(F.lit(126), F.floor(6 * F.log2("c")).cast("int"))
+    at = F.col("x").bitwiseAND(F.lit(COUNTERS - 1)).alias("at")
+    got = each.select(F.explode_outer("tokens").alias("x")).groupBy(at).agg(F.count(F.lit(1)).alias("c")).select("at", level.alias("level")).toArrow()
+    table = np.zeros(COUNTERS, np.int64)
     table[got.column("at").to_numpy()] = got.column("level").to_numpy()
-    return F.lit(table.tobytes())
+    return F.from_json(F.lit(json.dumps(table.tolist(), separators=(",", ":"))), "array<tinyint>")
 
 
 def prefixes(each: DataFrame) -> DataFrame:
-    """Rows (token, k1, n, pos, parity) of the words that a class can share first with a line at least as long or as short;
-    words that occur in one line only can't be shared."""
+    """Rows (token, k1, id, n, pos, parity, other) of the words of which a class shares SHARED with each that is similar and no
+    shorter; words that occur in one line only can't be shared. id: the document of the class's first line; parity and
+    other: 128 bits, each 1 if an odd number of words falls on it."""
     counts = rarity(each)
-    low = F.lit((1 << 40) - 1)
-    level = lambda x: F.ascii(F.call_function("substring", counts, F.pmod(x, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).cast("string"))
-    each = keyed(each)
-    each = each.withColumn("parity", F.aggregate("hashes", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(_bit(x))))
-    each = each.withColumn("order", F.sort_array(F.transform("hashes", lambda x: F.shiftleft(level(x).cast("long"), 40) + x.bitwiseAND(low))))
-    first = F.expr("slice(order, 1, n - cast((4 * n + 4) div 5 as int) + 1)")
-    out = each.select("k1", "n", "parity", F.posexplode(first).alias("pos", "token")).where(F.shiftright("token", 40) > 1)
-    return out.select("token", "k1", "n", "pos", "parity").dropDuplicates(["token", "k1"])
-
-
-def _bit(x: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-
-
-def similar(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """classes: k1, k2, first (id, h, line_no). Pairs (x1, x2, y1, y2) of different classes that reach the threshold."""
-    every = prefixes(lines(rows))
-    x, y = every.alias("x"), every.alias("y")
-    share = OVERLAP.format(a="x.n", b="y.n")
-    pairs = x.join(
-        y,
-        F.expr(
-            "x.token = y.token AND x.n <= y.n AND 5 * x.n >= 4 * y.n AND (x.n < y.n OR x.k1 < y.k1)"
-            " AND x.pos <= x.n - (8 * x.n + 8) div 9"
-            f" AND least(x.n - x.pos, y.n - y.pos) >= {share} AND bit_count(x.parity ^ y.parity) <= x.n + y.n - 2 * ({share})"
-        ),
+    # of the lines of a class one is enough; only lines that may have copies are shuffled for that
+    copied = settle(each.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k1", "k2"))
+    may, cannot = may_and_cannot(each.select("k1", "k2", "id", "n", "tokens"), copied, ["k1", "k2"])
+    one = may.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens")).unionByName(cannot)
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))
+    half = lambda which: F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: F.when(x.bitwiseAND(F.lit(64)) == which, acc.bitwiseXOR(bit(x))).otherwise(acc))
+    order = F.sort_array(F.transform("tokens", lambda x: F.shiftleft(F.get(counts, x.bitwiseAND(F.lit(COUNTERS - 1))).cast("long"), 32) + x))
+    one = fixed(one, {"parity": half(0), "other": half(64), "prefix": F.slice(order, F.lit(1), F.expr(f"n - cast((4 * n + 4) div 5 as int) + cast({SHARED.format('n')} as int)"))})
+    out = one.select("k1", "id", "n", "parity", "other", F.posexplode_outer("prefix").alias("pos", "token"))
+    return out.where(F.shiftright("token", 32) > 0).select(F.col("token").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("token"), "k1", "id", "n", "pos", "parity", "other")
+
+
+def fits(a: str, b: str) -> str:
+    """The filters of two rows of prefixes with the same token, in SQL: length, position of the token in the shorter's
+    prefix, words left after the first token that they can share, parity."""
+    share = OVERLAP.format(a=f"{a}.n", b=f"{b}.n")
+    inside = f"{{0}}.pos < {{0}}.n - (8 * {{0}}.n + 8) div 9 + {SHARED.format('{0}.n')}"
+    left = f"least({a}.n - {a}.pos, {b}.n - {b}.pos) + least({a}.pos, {b}.pos)"
+    return (
+        f"5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) AND if({a}.n <= {b}.n, {inside.format(a)}, {inside.format(b)}) AND {left} >= {share}"
+        f" AND bit_count({a}.parity ^ {b}.parity) + bit_count({a}.other ^ {b}.other) <= {a}.n + {b}.n - 2 * ({share})"
     )
-    pairs = settle(pairs.select(F.col("x.k1").alias("x"), F.col("y.k1").alias("y")).distinct())
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("k1")).distinct().join(classes, "k1").select("first.*")
-    asked = settle(asked.groupBy("id", "h").agg(F.collect_set("line_no").alias("asked")))
-    texts = only(rows, asked, ["id", "h"]).join(asked, ["id", "h"])
-    some = texts.select("id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), "asked").where(F.expr("array_contains(asked, line_no)"))
-    some = some.select(F.array_distinct(words(F.col("line"))).alias("set")).withColumn("hashes", F.sort_array(F.transform("set", lambda w: F.xxhash64(w))))
-    sets = keyed(some).select("k1", "k2", "set").dropDuplicates(["k1", "k2"])
+
+
+def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs: x, y, the k1 of classes that may be similar. Rows (x1, x2, y1, y2) of those whose sets of words are."""
+    place = ["id", "h", "line_no"]
+    asked = settle(pairs.select(F.explode(F.array("x", "y")).alias("k1")).distinct().join(classes, "k1").select("first.*"))
+    text = only(rows.select("id", "h", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")), asked, place).join(asked, place).dropDuplicates(place)
+    some = fixed(text.select("line"), {"set": F.array_distinct(words(F.col("line"), True))}).drop("line")
+    some = fixed(some, {"hashes": F.sort_array(F.transform("set", lambda w: F.xxhash64(w)))})
+    sets = store(some.select(F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"), "set"))
     both = pairs.join(sets.select(F.col("k1").alias("x"), F.col("k2").alias("x2"), F.col("set").alias("a")), "x")
     both = both.join(sets.select(F.col("k1").alias("y"), F.col("k2").alias("y2"), F.col("set").alias("b")), "y")
     sure = both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b")))
-    return sure.select(F.col("x").alias("x1"), "x2", F.col("y").alias("y1"), "y2")
+    out = settle(sure.select(F.col("x").alias("x1"), "x2", F.col("y").alias("y1"), "y2"))
+    discard(sets)
+    return out
+
+
+def earliest(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs of similar classes. Rows (k1, k2, other): the first place of all classes similar to one."""
+    way = lambda a, b: F.struct(F.col(f"{a}1").alias("a1"), F.col(f"{a}2").alias("a2"), F.col(f"{b}1").alias("k1"), F.col(f"{b}2").alias("k2"))
+    ways = pairs.select(F.inline(F.array(way("x", "y"), way("y", "x"))))
+    return ways.join(classes, ["k1", "k2"]).groupBy(F.col("a1").alias("k1"), F.col("a2").alias("k2")).agg(F.min("first").alias("other"))
+
+
+def similar(rows: DataFrame, each: DataFrame, classes: DataFrame) -> DataFrame:
+    """each: the lines, which are discarded; classes: k1, k2, first (id, h, line_no). Rows (k1, k2, other): of every class that
+    is similar to one with an earlier line, the first place of such classes, or at least of one.
+
+    One earlier match decides, and among many alike lines most match the one just before them. So each line is first held against
+    the two lines before it in the list of each of its rare words. Only lines that these don't decide are joined with all
+    others, so that the pairs grow with the lines and not with the square of a group's size.
+    """
+    every = store(prefixes(each))
+    discard(each)
+    near = W.partitionBy("token", F.floor(F.log("n") / 0.2231435513)).orderBy("id", "k1")
+    before = F.struct("k1", "n", "pos", "parity", "other")
+    beside = every.select(before.alias("x"), F.lag(before, 1).over(near).alias("one"), F.lag(before, 2).over(near).alias("two"))
+    beside = beside.select("x", F.explode_outer(F.array("one", "two")).alias("y")).where("y is not null").where(F.expr(fits("x", "y")))
+    pairs = store(beside.select(F.col("x.k1").alias("x"), F.col("y.k1").alias("y")).where("x != y").distinct())
+    first = verified(pairs, rows, classes)
+    discard(pairs)
+    found = settle(earliest(first, classes).join(classes, ["k1", "k2"]).where(F.col("other") < F.col("first")).select("k1", "k2", "other"))
+
+    decided = found.select("k1").distinct()
+    may, cannot = may_and_cannot(every, decided, ["k1"])
+    may = may.join(decided.withColumn("yes", F.lit(1)), "k1", "left").withColumn("decided", F.coalesce("yes", F.lit(0))).drop("yes")
+    marked = store(may.unionByName(cannot.withColumn("decided", F.lit(0))))
+    discard(every)
+    # decided is tested with a column of the other side, so that both sides are the same rows, which are shuffled once
+    x, y = marked.alias("x"), marked.alias("y")
+    pairs = x.join(y, F.expr(f"x.token = y.token AND x.k1 != y.k1 AND x.decided + y.n <= y.n AND (y.decided + x.n > x.n OR x.k1 < y.k1) AND {fits('x', 'y')}"))
+    pairs = pairs.groupBy(F.col("x.k1").alias("x"), F.col("y.k1").alias("y")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("x.n", "y.n")).alias("n"))
+    pairs = store(pairs.where(F.expr(f"shared >= {SHARED.format('n')}")).select("x", "y"))
+    discard(marked)
+    rest = earliest(verified(pairs, rows, classes), classes)
+    return settle(found.unionByName(rest).groupBy("k1", "k2").agg(F.min("other").alias("other")))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -105,12 +153,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     h = F.coalesce(F.xxhash64("text", F.col("doc_id").isNull()), F.lit(0))
     base = docs.drop("n_lines", "n_removed")
     rows = base.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), h.alias("h"), F.col("text"))
-    seen = store(keyed(lines(rows)).select("id", "h", "line_no", "k1", "k2"))
-    classes = settle(seen.groupBy("k1", "k2").agg(F.min(F.struct("id", "h", "line_no")).alias("first")))
-    pairs = settle(similar(rows, classes))
-    way = lambda a, b: F.struct(F.col(f"{a}1").alias("a1"), F.col(f"{a}2").alias("a2"), F.col(f"{b}1").alias("k1"), F.col(f"{b}2").alias("k2"))
-    ways = pairs.select(F.inline(F.array(way("x", "y"), way("y", "x"))))
-    near = ways.join(classes, ["k1", "k2"]).groupBy(F.col("a1").alias("k1"), F.col("a2").alias("k2")).agg(F.min("first").alias("other"))
+    each = store(lines(rows))
+    seen = store(each.select("id", "h", "line_no", "k1", "k2"))
+    classes = store(seen.groupBy("k1", "k2").agg(F.min(F.struct("id", "h", "line_no")).alias("first")))
+    near = similar(rows, each, classes)
     limits = classes.join(near, ["k1", "k2"], "left").select("k1", "k2", F.least("first", F.coalesce("other", "first")).alias("limit"))
     late = seen.join(limits, ["k1", "k2"]).where(F.struct("id", "h", "line_no") > F.col("limit"))
     removed = settle(late.groupBy("id", "h").agg(F.collect_set("line_no").alias("removed")))
