@@ -47,7 +47,7 @@ def lines_of(files: DataFrame, config: Config) -> DataFrame:
     rows = lines.scanned(files.select("file_path", "content").withColumns({c: x for c, x in zip(("is_source", "is_netrc", "no_entropy", "is_test"), lines.file_flags(F.col("file_path")), strict=True)}), config.marker)
     rows = fixed(rows, {"v_": S.secret_value(F.col("trim"), F.col("is_source"))})
     rows = fixed(rows, {"target": F.coalesce(S.strip(F.col("v_.value")), F.col("trim")), "assigned": F.col("v_.assigned")}).drop("v_")
-    return fixed(rows, {"compact": S.compact(F.col("target")), "low": F.lower("trim")})
+    return fixed(rows, {"compact": S.compact(F.col("target"))})
 
 
 def threshold(trim: Column, assigned: Column, default: float) -> Column:
@@ -90,26 +90,42 @@ def _allowed(found: DataFrame, config: Config) -> DataFrame:
     return found.where(~paths.matches_glob(F.col("token"), config.allowlist_patterns)) if config.allowlist_patterns else found
 
 
-def pattern_pass(rows: DataFrame, text: str, which: int, config: Config) -> DataFrame:
-    """Candidates of signatures in a text column of the lines."""
+def searched(rows: DataFrame, config: Config) -> DataFrame:
+    """A row for each text of a line that holds a prefix, with which and text: the line itself, or if it holds none its compact
+    form, where that differs; and what the compact form decodes to."""
     sigs = config.all_signatures()
-    some = (rows if which == resolve.LINE else fixed(rows, {"low": F.lower(text)})).where(match.any_prefix(F.col("low"), sigs))
-    some = match.occurrences(some, text, sigs)
-    free = F.startswith("sig.prefix", F.lit("_")) if which == resolve.LINE else F.lit(False)
-    some = match.extract(some.where(free | match.stands_alone(F.col(text), F.col("start"))), text, "sig", "start", "stop").where("token != ''")
+    rows = fixed(rows, {"low": F.lower("trim"), "decoded": S.decoded(F.col("compact"))})
+    rows = fixed(rows, {"low_compact": F.lower("compact"), "low_decoded": F.coalesce(F.lower("decoded"), F.lit("")), "held": match.any_prefix(F.col("low"), sigs)})
+    differs = (F.length("compact") > 0) & (F.length("compact") < F.length("target"))
+    one = lambda which, text, holds: F.when(holds, F.struct(F.lit(which).alias("which"), F.col(text).alias("text")))
+    texts = F.array(
+        one(resolve.LINE, "trim", F.col("held")),
+        one(resolve.COMPACT, "compact", ~F.col("held") & differs & match.any_prefix(F.col("low_compact"), sigs)),
+        one(resolve.DECODED, "decoded", match.any_prefix(F.col("low_decoded"), sigs)),
+    )
+    rows = rows.select("*", F.explode_outer(texts).alias("x")).where("x is not null")
+    return rows.select("*", "x.*").drop("x", "low", "low_compact", "low_decoded", "held", "decoded")
+
+
+def pattern_pass(rows: DataFrame, config: Config) -> DataFrame:
+    """Candidates of signatures in the texts of the lines."""
+    some = match.occurrences(searched(rows, config), "text", config.all_signatures())
+    which = F.col("which")
+    free = (which == resolve.LINE) & F.startswith("sig.prefix", F.lit("_"))
+    some = match.extract(some.where(free | match.stands_alone(F.col("text"), F.col("start"))), "text", "sig", "start", "stop").where("token != ''")
     token, sig = F.col("token"), F.col("sig.id")
     valid = (F.col("sig.validator") == "") | F.expr("rlike(token, sig.validator)")
     some = some.where(plausible.is_plausible(token, F.col("sig.prefix"), sig, config.min_secret_length) & valid & ~S.is_format_verb(token))
     some = _allowed(_classified(some, config, sig, False), config)
     return some.select(
         *KEYS,
-        F.lit(which).alias("pass"),
+        which.alias("pass"),
         F.col("seq"),
         S.clean_token(token).alias("token"),
         E.shannon(token).alias("entropy"),
         F.lit("PATTERN").alias("tier"),
         sig.alias("signature_id"),
-        (F.concat("sig.description", F.lit(" (Base64 Decoded)")) if which == resolve.DECODED else F.col("sig.description")).alias("description"),
+        F.when(which == resolve.DECODED, F.concat("sig.description", F.lit(" (Base64 Decoded)"))).otherwise(F.col("sig.description")).alias("description"),
         F.col("sig.severity").alias("severity"),
         F.col("raw").alias("line_content"),
     )
@@ -181,12 +197,7 @@ def scan(files: DataFrame, config: Config = Config(), pruned: bool = False) -> D
         extra, rows = phrases(rows, config), rows.where(~F.coalesce(is_phrase, F.lit(False)))
     passes = []
     if config.patterns:
-        sigs = config.all_signatures()
-        passes.append(pattern_pass(rows, "trim", resolve.LINE, config))
-        unmatched = rows.where((F.length("compact") > 0) & (F.length("compact") < F.length("target")) & ~match.any_prefix(F.col("low"), sigs))
-        passes.append(pattern_pass(unmatched, "compact", resolve.COMPACT, config))
-        opened = fixed(rows, {"decoded": S.decoded(F.col("compact"))}).where("decoded is not null")
-        passes.append(pattern_pass(opened, "decoded", resolve.DECODED, config))
+        passes.append(pattern_pass(rows, config))
     if config.entropy:
         passes += [random_pass(rows, config), log_pass(rows, config)]
     if not passes:
