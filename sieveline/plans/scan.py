@@ -190,16 +190,21 @@ def scan(files: DataFrame, config: Config = Config(), pruned: bool = False) -> D
     Lines are made and tested where a file is read; only candidates, a small share, are shuffled: once by line for the
     fold and once by file for blobs.
     """
-    rows = lines_of(files if pruned else prune(files, config), config)
-    extra = None
-    if config.phrase_words:
-        is_phrase = match.is_phrase(F.col("target"), config.phrase_words)
-        extra, rows = phrases(rows, config), rows.where(~F.coalesce(is_phrase, F.lit(False)))
+    files = files if pruned else prune(files, config)
+    every = lines_of(files, config)
+    extra = phrases(every, config) if config.phrase_words else None
+
+    def rest(some: DataFrame) -> DataFrame:
+        return some.where(~F.coalesce(match.is_phrase(F.col("target"), config.phrase_words), F.lit(False))) if config.phrase_words else some
+
+    rows = rest(every)
     passes = []
     if config.patterns:
         passes.append(pattern_pass(rows, config))
     if config.entropy:
-        passes += [random_pass(rows, config), log_pass(rows, config)]
+        # few files have lines of logs; for the others, and for files without an entropy pass, no lines are made here
+        logs = rest(lines_of(files.where(F.lower("content").rlike(lines.LOG_WORDS)), config))
+        passes += [random_pass(rows, config), log_pass(logs, config)]
     if not passes:
         return _shape(extra if extra is not None else phrases(rows.where(F.lit(False)), config))
     both = passes[0]
