@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import LAST, U, components, may_and_cannot, mix, read, settle, small_batches
+from sieveline.llm.common import LAST, U, components, discard, may_and_cannot, mix, only, read, settle, small_batches, store
 
 BITS = 64
 #: Fingerprints of one shard that are searched as one tree.
@@ -197,61 +197,94 @@ def op9_simhash(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-#: Fingerprints of a document in `keep_one`, the radius in which one of them must agree, and the most of all their bits that
-#: may differ: two sets of Jaccard similarity 0.8 have a cosine of 8/9, so an expected arccos(8/9) / pi of the bits.
-WIDE, WIDE_RADIUS, WIDE_BITS = 4, 7, 39
+#: keep_one: fingerprints of a document; blocks of each, of which one must be equal; the radius in which that fingerprint must
+#: agree; the most of all their bits that may differ. They only search: sets of Jaccard similarity 0.8 have a cosine of 8/9, so
+#: a bit differs with probability arccos(8/9) / pi = 0.15, and of independent bits a pair of 0.8 is missed about once in 7,000.
+WIDE, WIDE_BLOCKS, WIDE_RADIUS, WIDE_BITS = 4, 8, 14, 80
 WIDE_CELL = 4096
 
 
-def wide_simhash(text: str | None, size: int) -> list[int]:
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    found = [np.unique(h) for h in shingle_hashes(text, size)]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
+def wide_simhash(shingles: np.ndarray) -> list[int]:
     """WIDE fingerprints as signed longs, from the shingle hashes and hashes of these."""
-    ones, n = np.zeros((WIDE, BITS), np.int64), 0
-    for h in shingle_hashes(text, size):
+    ones = np.zeros((WIDE, BITS), np.int64)
+    for at in range(0, len(shingles), CHUNK):
+        h = shingles[at : at + CHUNK]
         for k in range(WIDE):
             x = h if k == 0 else mix(h + U(k * 0x9E3779B97F4A7C15 % (1 << 64)))
             ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        n += len(h)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.int64)[:, 0].tolist() if n else [0] * WIDE
+    return np.packbits(2 * ones > len(shingles), axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
 
 
-def wide_links(classes: DataFrame, radius: int, most: int, cell: int) -> DataFrame:
-    """classes: node, f (array of WIDE longs). Edges (a, b) that join all pairs of which one fingerprint is within the radius
-    and all bits together differ in `most` at most. Sharded and searched like shard_links, for each fingerprint."""
-    width, rows = BITS // (radius + 1), []
+def wide_pairs(classes: DataFrame, radius: int, most: int, cell: int, least: bool) -> DataFrame:
+    """classes: node, root, f (array of WIDE longs). Pairs (a, b) of nodes of different roots that have one of WIDE_BLOCKS blocks of a
+    fingerprint in common, and differ in `radius` bits of it and in `most` of all at most. Sharded and searched like shard_links, for
+    each fingerprint. least: of every node that is in a pair, in both ways, only the pair with the least partner."""
+    width, rows = BITS // WIDE_BLOCKS, []
     for w in range(WIDE):
-        for k in range(radius + 1):
-            bits = BITS - k * width if k == radius else width
-            rows.append(F.struct(F.lit(w).alias("w"), F.lit(k).alias("block"), F.shiftrightunsigned(F.get("f", w), k * width).bitwiseAND(F.lit((1 << bits) - 1)).alias("value")))
-    shards = classes.select("node", "f", F.inline(F.array(*rows)))
+        for k in range(WIDE_BLOCKS):
+            value = F.shiftrightunsigned(F.get("f", w), k * width).bitwiseAND(F.lit((1 << width) - 1))
+            rows.append(F.struct(F.lit(w).alias("w"), F.lit(k).alias("block"), value.alias("value")))
+    shards = classes.select("node", "root", "f", F.inline(F.array(*rows)))
     sizes = shards.groupBy("w", "block", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shards = shards.join(sizes, ["w", "block", "value"]).withColumn("g", F.ceil(F.col("n") / cell).cast("int")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j")))
     keys = ["w", "block", "value", "i", "j"]
-    cells = shards.select("w", "block", "value", F.inline(pairs), "c", "node", *[F.get("f", k).alias(f"f{k}") for k in range(WIDE)])
-    cells = cells.select(*keys, "c", "node", *[f"f{k}" for k in range(WIDE)]).repartition(*keys).sortWithinPartitions(*keys)
+    prints = [F.get("f", k).alias(f"f{k}") for k in range(WIDE)]
+    cells = shards.select("w", "block", "value", F.inline(pairs), "c", "node", "root", *prints)
+    cells = cells.select(*keys, "c", "node", "root", *[f"f{k}" for k in range(WIDE)]).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches):
-        for w, _, _, i, j, c, node, *f in grouped(batches, 5):
+        for w, _, _, i, j, c, node, root, *f in grouped(batches, 5):
             if len(node) < 2:
                 continue
             f = [x.view(np.uint64) for x in f]
             t, q = np.flatnonzero(c == i[0]), np.flatnonzero(c == j[0])
-            x, y = bk_links(f[w[0]][t], f[w[0]][q], radius)
-            x, y = q[x], t[y]
-            near = sum(np.bitwise_count(v[x] ^ v[y]).astype(np.int32) for v in f) <= most
-            root = stars(len(node), x[near], y[near])
-            own = np.flatnonzero(root != np.arange(len(node)))
-            if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], ["a", "b"])
-
-    return cells.mapInArrow(run, "a bigint, b bigint").distinct()
+            for at in range(0, len(q), CELL):
+                x, y = bk_links(f[w[0]][t], f[w[0]][q[at : at + CELL]], radius)
+                x, y = q[at + x], t[y]
+                near = root[x] != root[y]
+                near &= sum(np.bitwise_count(v[x] ^ v[y]).astype(np.int32) for v in f) <= most
+                a, b = node[x[near]], node[y[near]]
+                if least:
+                    a, b = np.concatenate([a, b]), np.concatenate([b, a])
+                    order = np.lexsort((b, a))
+                    a, b = a[order], b[order]
+                    new = np.ones(len(a), bool)
+                    new[1:] = a[1:] != a[:-1]
+                else:
+                    a, b = np.minimum(a, b), np.maximum(a, b)
+                    new = np.unique(np.stack([a, b], 1), axis=0, return_index=True)[1]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+
+    out = cells.mapInArrow(run, "a bigint, b bigint")
+    if not least:
+        return out.distinct()
+    out = out.groupBy("a").agg(F.min("b").alias("b"))
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (node, shingles) have a Jaccard similarity of 4/5 or more, counted on the sets."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    # the length bound spares most intersections that can't pass
+    both = both.where(5 * F.least(F.size("x"), F.size("y")) >= 4 * F.greatest(F.size("x"), F.size("y")))
+    return settle(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, most: int = WIDE_BITS, cell: int = WIDE_CELL) -> DataFrame:
     """The rows of docs without near-duplicates: of each group of linked documents the one with the smallest doc_id.
 
-    Documents link if their estimated similarity, by WIDE * 64 bits, is that of sets of five-word shingles with a Jaccard
-    similarity of 0.8 or more, and one of their fingerprints is within the radius, which is how they are found.
+    Documents link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints find the pairs, and each
+    pair is verified on the sets, so that none below 0.8 links. Pairs are verified in two rounds: of each document that with one
+    partner, then all pairs that these links don't join already. A large group of copies so needs few; the components are the same.
 
     Edge cases: null and empty texts are one group; rows without doc_id come after all others; of rows equal in doc_id
     and text one stays; an empty table gives no rows; all columns are kept as they are.
@@ -260,14 +293,32 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, most:
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.xxhash64("text", F.col("doc_id").isNull()), F.lit(0)).alias("h")]
 
     def run(batches):
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            found = [shingle_set(t.as_py(), shingle) for t in b.column(2)]
+            node = np.fromiter((xxh64_intdigest(s.tobytes(), 42) for s in found), np.uint64, len(found)).view(np.int64)
+            f = [wide_simhash(s) for s in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(f, pa.list_(pa.int64()))], ["id", "h", "node", "f"])
+
+    def whole_sets(batches):
         for b in batches:
-            f = [wide_simhash(t.as_py(), shingle) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.list_(pa.int64()))], ["id", "h", "f"])
+            for node, text in zip(b.column(0), b.column(1), strict=True):
+                s = pa.array([shingle_set(text.as_py(), shingle).view(np.int64)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), s], ["node", "shingles"])
 
-    prints = docs.select(*key, F.col("text").cast("string")).mapInArrow(run, "id bigint, h bigint, f array<bigint>")
-    prints = settle(prints.withColumn("node", F.xxhash64("f")))
+    # texts with the same set of shingles are one node
+    prints = settle(docs.select(*key, F.col("text").cast("string")).mapInArrow(run, "id bigint, h bigint, node bigint, f array<bigint>"))
     classes = settle(prints.groupBy("node").agg(F.min(F.struct("id", "h")).alias("first"), F.first("f").alias("f")))
-    roots = components(wide_links(classes.select("node", "f"), radius, most, cell))
+    one = settle(wide_pairs(classes.select("node", F.col("node").alias("root"), "f"), radius, most, cell, True))
+    asked = settle(one.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", "first.*", "f"))
+    texts = only(docs.select(*key, F.col("text").cast("string")), asked, ["id", "h"]).join(asked.drop("f"), ["id", "h"])
+    sets = store(texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(whole_sets, "node bigint, shingles array<bigint>"))
+    links = similar_sets(one, sets)
+    joined = asked.select("node", "f").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = similar_sets(settle(wide_pairs(settle(joined), radius, most, cell, False)), sets)
+    discard(sets)
+    roots = components(links.unionByName(more))
     named = classes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("first").alias("best"))
     best = named.join(best, "root").select("node", "best")

@@ -424,6 +424,19 @@ def test_keep_one(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_is_by_exact_similarity(spark):
+    rng = random.Random(33)
+    rows = []
+    for k in range(60):
+        w = words(rng, 160)
+        n = rng.randint(4, 30)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[: 160 - n] + words(rng, n)))]
+    sets = [{tuple(t.lower().split()[i : i + 5]) for i in range(156)} for _, t in rows]
+    want = {2 * k for k in range(60)} | {2 * k + 1 for k in range(60) if len(sets[2 * k] & sets[2 * k + 1]) < 0.8 * len(sets[2 * k] | sets[2 * k + 1])}
+    assert 70 < len(want) < 110
+    assert {r.doc_id for r in simhash.keep_one(table(spark, rows)).collect()} == want
+
+
 # 10
 
 
