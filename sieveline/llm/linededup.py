@@ -22,8 +22,10 @@ from sieveline.llm.common import LAST, SPACES, discard, may_and_cannot, only, re
 
 #: Counters of the rarity order, a power of two.
 COUNTERS = 1 << 18
-#: Lines with fewer distinct words are kept: they are too short to tell a copy from a coincidence.
-LEAST_WORDS = 5
+#: Lines with fewer distinct words, which are those without a word, are kept.
+LEAST_WORDS = 1
+#: Sets of fewer words reach the threshold only if they are equal, so they are classes but not joined.
+LEAST_JOINED = 4
 #: The threshold 4/5 in whole numbers: two sets of a and b words reach it if they share at least (4 * (a + b) + 8) div 9.
 OVERLAP = "(4 * ({a} + {b}) + 8) div 9"
 #: Rare words that similar lines must share, by the number of words of the shorter: prefixes are longer by so many.
@@ -31,7 +33,7 @@ SHARED = "(1 + {} div 32)"
 
 
 def lines(rows: DataFrame) -> DataFrame:
-    """rows: id, h, text. One row for each line of enough words: line_no, n (distinct words), tokens (a 31-bit hash of each) and
+    """rows: id, h, text. One row for each line with a word: line_no, n (distinct words), tokens (a 31-bit hash of each) and
     k1, k2, a 128-bit hash of the set."""
     # outer, since filters for empty arrays would make each array a second time
     each = rows.select("id", "h", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
@@ -53,7 +55,7 @@ def rarity(each: DataFrame) -> Column:
 
 
 def prefixes(each: DataFrame) -> DataFrame:
-    """Rows (token, k1, id, n, pos, parity, other) of the words of which a class shares SHARED with each that is similar and no
+    """each: lines of LEAST_JOINED words or more. Rows (token, k1, id, n, pos, parity, other) of the words of which a class shares SHARED with each that is similar and no
     shorter; words that occur in one line only can't be shared. id: the document of the class's first line; parity and
     other: 128 bits, each 1 if an odd number of words falls on it."""
     counts = rarity(each)
@@ -112,7 +114,7 @@ def similar(rows: DataFrame, each: DataFrame, classes: DataFrame) -> DataFrame:
     the two lines before it in the list of each of its rare words. Only lines that these don't decide are joined with all
     others, so that the pairs grow with the lines and not with the square of a group's size.
     """
-    every = store(prefixes(each))
+    every = store(prefixes(each.where(F.col("n") >= LEAST_JOINED)))
     discard(each)
     near = W.partitionBy("token", F.floor(F.log("n") / 0.2231435513)).orderBy("id", "k1")
     before = F.struct("k1", "n", "pos", "parity", "other")
@@ -145,8 +147,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Jaccard similarity with its own is at least 0.8, whether or not that earlier line is itself removed. Documents
     are in order of doc_id. Lines end at a line feed; a carriage return is white space.
 
-    Edge cases: null texts have no lines and stay null, an empty text has none and stays empty; lines of fewer than
-    LEAST_WORDS distinct words are kept; rows without doc_id are last; rows with equal doc_id are in order of a hash of their text, and if that is equal
+    Edge cases: null texts have no lines and stay null, an empty text has none and stays empty; lines
+    without a word are kept; rows without doc_id are last; rows with equal doc_id are in order of a hash of their text, and if that is equal
     too they are one document, each of whose rows loses the same lines; lines of any length are compared whole; an empty
     table gives no rows; a column of docs called n_lines or n_removed is replaced.
     """

@@ -189,6 +189,12 @@ def test_lines(spark):
         assert r.text == "\n".join(x for k, x in enumerate(dict(rows)[r.doc_id].split("\n")) if k not in gone.get(r.doc_id, ()))
 
 
+def test_short_lines(spark):
+    rows = [(0, "Les.\na b\na b c\na b c d\n\n \nx x x x x"), (1, "b a\nLes.\nles.\n\nc b a\na b"), (2, "a b c d e\na b d\n \nx\nx y")]
+    got = {r.doc_id: r for r in linededup.dedup_lines(table(spark, rows)).collect()}
+    assert {d: (r.text, r.n_removed) for d, r in got.items()} == {0: (rows[0][1], 0), 1: ("les.\n", 4), 2: ("a b d\n \nx y", 2)}
+
+
 def test_lines_of_odd_rows(spark):
     docs = table(spark)
     out = linededup.dedup_lines(docs)
