@@ -288,7 +288,9 @@ def findings_documents(spark, sf_dir):
 @query()
 def findings_pages(spark, sf_dir):
     config = Config(entropy_threshold=3.5, min_secret_length=12)
-    return plan.scan(pages(spark, sf_dir).select("file_path", "content").dropDuplicates(["file_path"]), config)
+    # pages may share a URL; below the folder of its page_id the path of each is its own
+    path = F.concat_ws("/", F.col("page_id").cast("string"), "file_path").alias("file_path")
+    return plan.scan(pages(spark, sf_dir).select(path, "content"), config)
 
 
 @query(f"WITH {_SQL_FOUND} SELECT token, min(file_path) AS file_path FROM v GROUP BY token")

@@ -10,6 +10,13 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = "documents pages events".split()
 
 
+def test_pages_that_share_a_url_are_all_scanned(spark, tmp_path):
+    tail = "Q7ZX5KLM2PWV8RTN"
+    rows = [(k, url, "AWS=" + "AK" + "IA" + tail[k:] + tail[:k]) for k, url in enumerate(["https://a.io/x.conf", "http://a.io/x.conf", "https://a.io/x.conf"])]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.file_path for r in registry.findings_pages(spark, str(tmp_path)).collect()} == {f"{k}/a.io/x.conf" for k in range(3)}
+
+
 @pytest.fixture(scope="module")
 def duck():
     duckdb = pytest.importorskip("duckdb")
