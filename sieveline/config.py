@@ -17,6 +17,8 @@ EXCLUDE_EXTENSIONS = (
     " .docx .xls .xlsx .exe .dll .so .dylib .a .o .css .scss .csv .hex .eml .msg .mbox .vcf .ics .cache .pb.go .gen.go .g.go .map"
 ).split()
 MAX_BYTES = 10 << 20
+#: The public English word list of BIP-39, 2,048 words.
+PHRASE_WORDS = tuple(Path(__file__).with_name("phrase_words.txt").read_text().split())
 
 
 @dataclass(frozen=True)
@@ -34,8 +36,8 @@ class Config:
     fail_fast: bool = False
     #: A line with it is not scanned; if it is a comment, neither is the next.
     marker: str = "sieveline:ignore"
-    #: Words of recovery phrases, for instance the lines of a public word list; without them such phrases are not looked for.
-    phrase_words: tuple[str, ...] = ()
+    #: Words of recovery phrases; with an empty tuple such phrases are not looked for.
+    phrase_words: tuple[str, ...] = PHRASE_WORDS
 
     def __post_init__(self):
         if not 0 <= self.entropy_threshold <= 8:

@@ -78,6 +78,16 @@ def test_phrases(spark):
     assert [(r.file_path, r.signature_id) for r in got] == [("w.conf", "bip39-mnemonic")]
 
 
+def test_phrases_are_found_by_default(spark):
+    from sieveline.config import PHRASE_WORDS
+
+    assert len(set(PHRASE_WORDS)) == 2048
+    phrase = " ".join(PHRASE_WORDS[k * 83 % 2048] for k in range(12))
+    files = spark.createDataFrame([("w.conf", phrase), ("v.conf", phrase[:-1] + "#")], "file_path string, content string")
+    for config in (Config(), Config(patterns=False, entropy=False)):
+        assert [(r.file_path, r.signature_id, r.severity) for r in plan.scan(files, config).collect()] == [("w.conf", "bip39-mnemonic", "CRITICAL")]
+
+
 def test_tiers_can_be_off_and_nothing_is_found_in_nothing(spark):
     files = spark.createDataFrame([("a.conf", f"AWS={KEY}\nblob = {RANDOM}")], "file_path string, content string")
     assert {r.tier for r in plan.scan(files, Config(entropy=False)).collect()} == {"PATTERN"}
