@@ -46,6 +46,20 @@ def words(text: Column, one_line: bool = False) -> Column:
     return F.when(text.isNull(), F.array().cast("array<string>")).when(~odd, F.split(plain, " ")).otherwise(some)
 
 
+def odd_space(text: Column) -> Column:
+    """Whether text has other white space than line feeds and single blanks between words."""
+    # plain searches: a regular expression takes longer than all else that is done with a text
+    odd = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    for c in ("  ", "\n ", " \n", "\t", "\x0b", "\f", "\r"):
+        odd = odd | F.contains(text, F.lit(c))
+    return odd
+
+
+def line_words(line: Column, odd: Column) -> Column:
+    """The words of a line that is not empty; odd: odd_space of its whole text."""
+    return F.when(odd, F.filter(F.split(line, GAP), lambda w: w != "")).otherwise(F.split(line, " "))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -68,15 +82,28 @@ def _shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Runs df once and keeps its rows in the shared checkpoint folder, so that later steps neither repeat the work nor
-    depend on one executor's disk. Spark removes the files once nothing refers to them."""
-    _shared_folder(df.sparkSession)
-    out = df.checkpoint()
-    _release(df.sparkSession)
+#: Folders of the tables made so far, for `scope` and for the end of the driver.
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Runs df once and keeps its rows as compressed Parquet in the shared folder, so that later steps neither repeat the work
+    nor depend on one executor's disk. The table is removed by `discard`, at the end of a `scope`, or when the driver ends."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    # most of what is stored is hashes, of which dictionaries hold nothing twice
+    df.write.options(**{"compression": "zstd", "parquet.enable.dictionary": "false"}).parquet(path)
+    _release(spark)
+    out = spark.read.parquet(path)
+    out.stored_at = path
     return out
 
 
+#: The name that small tables are stored by.
+settle = store
+
+
 def _release(spark: SparkSession) -> None:
     """Spark drops the shuffle files of a finished step when the driver's collector finds that nothing refers to them, which
     may take until long after the disks are full. So the collector is asked to look."""
@@ -84,40 +111,63 @@ def _release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def store(df: DataFrame) -> DataFrame:
-    """settle for wide or long tables: a compressed Parquet table in the same folder, removed when the driver ends."""
-    spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-
-    _release(spark)
-    out = spark.read.parquet(path)
-    out.stored_at = path
-    atexit.register(discard, out)
-    return out
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended, and with it its folder
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def discard(stored: DataFrame) -> None:
+def discard(*stored: DataFrame) -> None:
     """Removes what store has written, once everything made of it has been run."""
-    with contextlib.suppress(Exception):  # the session may have ended, and with it its folder
-        where = stored.sparkSession._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
-        where.getFileSystem(stored.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    for df in stored:
+        _remove(df.sparkSession, df.stored_at)
+
+
+@contextlib.contextmanager
+def scope():
+    """Removes, when it ends, all tables that were stored within it and not handed to `keep`: what was made of them must have
+    been stored by then."""
+    since, kept = len(_MADE), []
+    try:
+        yield kept.append
+    finally:
+        stays = {df.stored_at for df in kept}
+        for spark, path in _MADE[since:]:
+            if path not in stays:
+                _remove(spark, path)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for spark, path in _MADE:
+        _remove(spark, path)
 
 
-#: Bits of the filter that `only` sends to the executors, 1 MiB whatever the number of keys.
-FILTER_BITS = 1 << 23
+#: Least and most bits of the filter that `may_and_cannot` sends to the executors: 128 KiB to 16 MiB, and bits a key. Beyond the most,
+#: the filter lets more through, and no row is lost.
+FILTER_BITS, BITS_A_KEY = (1 << 20, 1 << 27), 16
+#: Longs of a row of the filter.
+FILTER_ROW = 1 << 12
 
 
 def may_and_cannot(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key may be among keys, and those whose key is not. The first has all that are, and of the others a
-    share that grows from none to all with the number of keys. If only the first are joined, few texts are shuffled for
-    nothing; the filter is broadcast and has a fixed size."""
-    bit = lambda: F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS)) + 1
-    maps = keys.select(bit().alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(place div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    found = rows.withColumns({"bucket": F.bitmap_bucket_number(bit()), "place": F.bitmap_bit_position(bit())}).join(F.broadcast(settle(maps)), "bucket", "left")
-    found = found.withColumn("may", F.coalesce(F.call_function("shiftright", byte, (F.col("place") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False)))
-    found = found.drop("bucket", "place", "bits")
+    """The rows whose key may be among keys, and those whose key is not. The first has all that are, and few others while
+    the keys are fewer than some millions. If only the first are joined, few texts are shuffled for nothing; the filter is
+    broadcast and has a bounded size. Rows with a null key, as one of xxhash64's, are treated like any other."""
+    spark = rows.sparkSession
+    bits = FILTER_BITS[0]
+    n = keys.count()
+    while bits < FILTER_BITS[1] and bits < BITS_A_KEY * n:
+        bits *= 2
+    h = F.xxhash64(*on)
+    place = F.pmod(h, F.lit(bits // 64))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftrightunsigned", h, F.lit(58)).cast("int"))
+    # every long of the filter has a row, so that those of a row of the filter are an array without gaps
+    longs = keys.select(place.alias("place"), one.alias("bit")).unionByName(spark.range(bits // 64).select(F.col("id").alias("place"), F.lit(0).cast("long").alias("bit")))
+    longs = longs.groupBy("place").agg(F.bit_or("bit").alias("bits"))
+    table = longs.groupBy((F.col("place") / FILTER_ROW).cast("long").alias("bucket")).agg(F.sort_array(F.collect_list(F.struct("place", "bits")))["bits"].alias("bits"))
+    found = rows.withColumns({"bucket": F.floor(place / FILTER_ROW).cast("long"), "slot": F.pmod(place, F.lit(FILTER_ROW)).cast("int"), "bit": one}).join(F.broadcast(table), "bucket", "left")
+    found = found.withColumn("may", F.get("bits", "slot").bitwiseAND(F.col("bit")) != 0).drop("bucket", "slot", "bit", "bits")
     return found.where("may").drop("may"), found.where("not may").drop("may")
 
 

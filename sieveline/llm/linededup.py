@@ -1,11 +1,14 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
-A line is the set of its words; lines with the same set are one class. Words are ordered by rarity, by counts over all
-lines in a table of a fixed size (words that share a counter only make the order, and so the speed, worse). Two sets
-whose Jaccard similarity reaches the threshold share a word among the first few of each (prefix filter), are of
-similar length (length filter), have enough words left after the ones they share (positional filter), and differ
-in few bits of a 128-bit parity map of their words; long lines must share several rare words, of prefixes longer by as many. Pairs that pass are verified on the words themselves. A line is
-removed if an earlier line matches it; all filters are exact, so no match is missed.
+A line is the set of its words; lines with the same set are one class, told apart by 128-bit hashes and known by the place of
+its first line. The words of a class are ordered by rarity, by counts over all lines in a table of a fixed size
+(words that share a counter only make the order, and so the speed, worse). Its keys are the pairs of neighbours in the
+prefix of that order. If two sets reach the threshold, one lacks few words of the other, and each word that is lacking
+or added parts two pairs of neighbours at most. So the first pair that they share lies in both prefixes (`PAIRS`). Single rare words
+of a large vocabulary would be shared by ever more lines as the corpus grows; pairs of neighbours seldom are, except by similar lines.
+
+Classes that share a key pass a length filter, a positional filter and a 64-bit parity map of their words, and are verified
+on the words. A line is removed if an earlier line matches it; all filters are exact, so no match is missed.
 """
 
 from __future__ import annotations
@@ -17,30 +20,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sieveline.functions.plan import fixed
-from sieveline.llm.common import LAST, SPACES, discard, may_and_cannot, only, read, settle, store, words
+from sieveline.llm.common import LAST, SPACES, discard, line_words, may_and_cannot, odd_space, only, read, store, words
 
 #: Counters of the rarity order, a power of two.
 COUNTERS = 1 << 18
-#: Lines with fewer distinct words, which are those without a word, are kept.
-LEAST_WORDS = 1
 #: Sets of fewer words reach the threshold only if they are equal, so they are classes but not joined.
 LEAST_JOINED = 4
 #: The threshold 4/5 in whole numbers: two sets of a and b words reach it if they share at least (4 * (a + b) + 8) div 9.
 OVERLAP = "(4 * ({a} + {b}) + 8) div 9"
-#: Rare words that similar lines must share, by the number of words of the shorter: prefixes are longer by so many.
-SHARED = "(1 + {} div 32)"
+#: Keys of a set of n words. With p words of it lacking in a similar set of m, and q added, p + q <= (n + m) / 9 and p - q = n - m, so
+#: that 2 * p + q <= 2 * n / 3 - m / 3 <= 2 * n / 5 pairs are parted.
+PAIRS = "(2 * n) div 5 + 1"
+PLACE = ["id", "h", "line_no"]
+#: The most classes of copies whose first places are broadcast, and rows of a key that are compared in one task.
+HEAVY, CELL = 10_000, 4096
+
+
+def split(rows: DataFrame) -> DataFrame:
+    """rows: id, h, text. One row (id, h, odd, line_no, line) for each line that isn't empty; odd is what line_words needs."""
+    # in a step of its own, since beside a generator it would be computed for each line
+    rows = rows.select("id", "h", "text", odd_space(F.col("text")).alias("odd"))
+    return rows.select("id", "h", "odd", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).where("line != ''")
 
 
 def lines(rows: DataFrame) -> DataFrame:
-    """rows: id, h, text. One row for each line with a word: line_no, n (distinct words), tokens (a 31-bit hash of each) and
+    """rows: id, h, text. One row for each line with a word: line_no, n (distinct words), tokens (a 32-bit hash of each) and
     k1, k2, a 128-bit hash of the set."""
-    # outer, since filters for empty arrays would make each array a second time
-    each = rows.select("id", "h", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
-    each = fixed(each, {"hashes": F.sort_array(F.array_distinct(F.transform(words(F.col("line"), True), lambda w: F.xxhash64(w))))}).drop("line")
-    each = each.where(F.size("hashes") >= LEAST_WORDS)
-    tokens = F.transform("hashes", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    return each.select("id", "h", "line_no", F.size("hashes").alias("n"), F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"), tokens.alias("tokens"))
+    # no filter on what is computed here, since the optimizer would compute it a second time for the filter
+    each = split(rows).where(F.btrim("line", F.lit(SPACES)) != "")
+    each = each.select(*PLACE, F.sort_array(F.array_distinct(F.transform(line_words(F.col("line"), F.col("odd")), lambda w: F.xxhash64(w)))).alias("hashes"))
+    return each.select(*PLACE, F.size("hashes").alias("n"), F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"), F.transform("hashes", lambda x: F.hash(x)).alias("tokens"))
 
 
 def rarity(each: DataFrame) -> Column:
@@ -48,96 +57,91 @@ def rarity(each: DataFrame) -> Column:
     doubling, 0 for a single one. Its size is fixed."""
     level = F.least(F.lit(126), F.floor(6 * F.log2("c")).cast("int"))
     at = F.col("x").bitwiseAND(F.lit(COUNTERS - 1)).alias("at")
-    got = each.select(F.explode_outer("tokens").alias("x")).groupBy(at).agg(F.count(F.lit(1)).alias("c")).select("at", level.alias("level")).toArrow()
+    got = each.select(F.explode("tokens").alias("x")).groupBy(at).agg(F.count(F.lit(1)).alias("c")).select("at", level.alias("level")).toArrow()
     table = np.zeros(COUNTERS, np.int64)
     table[got.column("at").to_numpy()] = got.column("level").to_numpy()
     return F.from_json(F.lit(json.dumps(table.tolist(), separators=(",", ":"))), "array<tinyint>")
 
 
-def prefixes(each: DataFrame) -> DataFrame:
-    """each: lines of LEAST_JOINED words or more. Rows (token, k1, id, n, pos, parity, other) of the words of which a class shares SHARED with each that is similar and no
-    shorter; words that occur in one line only can't be shared. id: the document of the class's first line; parity and
-    other: 128 bits, each 1 if an odd number of words falls on it."""
+def later_copies(each: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The places of the lines whose set of words an earlier line has, and those sets: k1, k2, copies, first (the place of the
+    earliest line)."""
+    copied = store(each.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*PLACE)).alias("first")).where("copies > 1"))
+    total = copied.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first().n
+    heavy = copied.where(F.col("copies") * HEAVY > total)  # HEAVY rows at most, so that no other key has more than a HEAVY-th of all
+    some = only(each.select(*PLACE, "k1", "k2"), copied, ["k1", "k2"])
+    light = some.join(F.broadcast(heavy.select("k1", "k2")), ["k1", "k2"], "left_anti").join(copied, ["k1", "k2"])
+    both = light.unionByName(some.join(F.broadcast(heavy), ["k1", "k2"]).select(light.columns))
+    return store(both.where(F.struct(*PLACE) > F.col("first")).select(*PLACE)), copied
+
+
+def with_keys(each: DataFrame, late: DataFrame, copied: DataFrame) -> DataFrame:
+    """One row for each class of LEAST_JOINED words or more: the place of its first line, n, parity (64 bits, each 1 if an odd
+    number of words falls on it) and keys."""
     counts = rarity(each)
-    # of the lines of a class one is enough; only lines that may have copies are shuffled for that
-    copied = settle(each.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k1", "k2"))
-    may, cannot = may_and_cannot(each.select("k1", "k2", "id", "n", "tokens"), copied, ["k1", "k2"])
-    one = may.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens")).unionByName(cannot)
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))
-    half = lambda which: F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: F.when(x.bitwiseAND(F.lit(64)) == which, acc.bitwiseXOR(bit(x))).otherwise(acc))
-    order = F.sort_array(F.transform("tokens", lambda x: F.shiftleft(F.get(counts, x.bitwiseAND(F.lit(COUNTERS - 1))).cast("long"), 32) + x))
-    one = fixed(one, {"parity": half(0), "other": half(64), "prefix": F.slice(order, F.lit(1), F.expr(f"n - cast((4 * n + 4) div 5 as int) + cast({SHARED.format('n')} as int)"))})
-    out = one.select("k1", "id", "n", "parity", "other", F.posexplode_outer("prefix").alias("pos", "token"))
-    return out.where(F.shiftright("token", 32) > 0).select(F.col("token").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("token"), "k1", "id", "n", "pos", "parity", "other")
+    may, cannot = may_and_cannot(each.where(F.col("n") >= LEAST_JOINED), copied, ["k1", "k2"])
+    some = [*PLACE, "n", "tokens"]
+    # rows that are equal in doc_id and text have their lines in one place
+    one = may.select(some).join(late, PLACE, "left_anti").dropDuplicates(PLACE).unionByName(cannot.select(some))
+    level = lambda x: F.get(counts, x.bitwiseAND(F.lit(COUNTERS - 1))).cast("long")
+    one = one.select(*PLACE, "n", F.sort_array(F.transform("tokens", lambda x: F.shiftleft(level(x), 32) + x)).alias("order"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    pairs = F.expr(PAIRS)
+    keys = F.zip_with(F.slice("order", F.lit(1), pairs), F.slice("order", F.lit(2), pairs), lambda x, y: F.xxhash64(x, y))
+    return one.select(*PLACE, "n", F.aggregate("order", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x))).alias("parity"), keys.alias("keys"))
 
 
 def fits(a: str, b: str) -> str:
-    """The filters of two rows of prefixes with the same token, in SQL: length, position of the token in the shorter's
-    prefix, words left after the first token that they can share, parity."""
+    """The filters of two rows with the same key, in SQL: length, words left beside the pair that they can share, parity."""
     share = OVERLAP.format(a=f"{a}.n", b=f"{b}.n")
-    inside = f"{{0}}.pos < {{0}}.n - (8 * {{0}}.n + 8) div 9 + {SHARED.format('{0}.n')}"
-    left = f"least({a}.n - {a}.pos, {b}.n - {b}.pos) + least({a}.pos, {b}.pos)"
-    return (
-        f"5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) AND if({a}.n <= {b}.n, {inside.format(a)}, {inside.format(b)}) AND {left} >= {share}"
-        f" AND bit_count({a}.parity ^ {b}.parity) + bit_count({a}.other ^ {b}.other) <= {a}.n + {b}.n - 2 * ({share})"
-    )
-
-
-def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs: x, y, the k1 of classes that may be similar. Rows (x1, x2, y1, y2) of those whose sets of words are."""
-    place = ["id", "h", "line_no"]
-    asked = settle(pairs.select(F.explode(F.array("x", "y")).alias("k1")).distinct().join(classes, "k1").select("first.*"))
-    text = only(rows.select("id", "h", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")), asked, place).join(asked, place).dropDuplicates(place)
-    some = fixed(text.select("line"), {"set": F.array_distinct(words(F.col("line"), True))}).drop("line")
-    some = fixed(some, {"hashes": F.sort_array(F.transform("set", lambda w: F.xxhash64(w)))})
-    sets = store(some.select(F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"), "set"))
-    both = pairs.join(sets.select(F.col("k1").alias("x"), F.col("k2").alias("x2"), F.col("set").alias("a")), "x")
-    both = both.join(sets.select(F.col("k1").alias("y"), F.col("k2").alias("y2"), F.col("set").alias("b")), "y")
-    sure = both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b")))
-    out = settle(sure.select(F.col("x").alias("x1"), "x2", F.col("y").alias("y1"), "y2"))
-    discard(sets)
+    left = f"least({a}.pos, {b}.pos) + least({a}.n - {a}.pos, {b}.n - {b}.pos)"
+    return f"5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) AND {left} >= {share} AND bit_count({a}.parity ^ {b}.parity) <= {a}.n + {b}.n - 2 * ({share})"
+
+
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """pairs (x, y) of places of lines. The places x of those whose sets of words are similar, once each."""
+    asked = store(pairs.select(F.explode(F.array("x", "y")).alias("p")).distinct().select("p.*"))
+    docs = only(rows, asked, ["id", "h"])
+    text = only(split(docs), asked, PLACE).join(asked, PLACE).dropDuplicates(PLACE)
+    sets = store(text.select(F.struct(*PLACE).alias("p"), F.array_distinct(line_words(F.col("line"), F.col("odd"))).alias("words")))
+    both = pairs.join(sets.select(F.col("p").alias("x"), F.col("words").alias("a")), "x").join(sets.select(F.col("p").alias("y"), F.col("words").alias("b")), "y")
+    out = store(both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("x.*").distinct())
+    discard(asked, sets)
     return out
 
 
-def earliest(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs of similar classes. Rows (k1, k2, other): the first place of all classes similar to one."""
-    way = lambda a, b: F.struct(F.col(f"{a}1").alias("a1"), F.col(f"{a}2").alias("a2"), F.col(f"{b}1").alias("k1"), F.col(f"{b}2").alias("k2"))
-    ways = pairs.select(F.inline(F.array(way("x", "y"), way("y", "x"))))
-    return ways.join(classes, ["k1", "k2"]).groupBy(F.col("a1").alias("k1"), F.col("a2").alias("k2")).agg(F.min("first").alias("other"))
-
+def similar(rows: DataFrame, keyed: DataFrame, copied: DataFrame) -> DataFrame:
+    """keyed: what with_keys gives, discarded here. The places of the classes that are similar to an earlier one.
 
-def similar(rows: DataFrame, each: DataFrame, classes: DataFrame) -> DataFrame:
-    """each: the lines, which are discarded; classes: k1, k2, first (id, h, line_no). Rows (k1, k2, other): of every class that
-    is similar to one with an earlier line, the first place of such classes, or at least of one.
-
-    One earlier match decides, and among many alike lines most match the one just before them. So each line is first held against
-    the two lines before it in the list of each of its rare words. Only lines that these don't decide are joined with all
-    others, so that the pairs grow with the lines and not with the square of a group's size.
+    One earlier match decides, and in a large group of alike lines most match the line that has most copies or one of those just
+    before them. So each line is first held against the two lines before it, the earliest and the most copied of each of its keys. Only lines that
+    these don't decide are held against all earlier lines of a key, so that the pairs grow with the lines and not with the square of a group's size.
     """
-    every = store(prefixes(each.where(F.col("n") >= LEAST_JOINED)))
-    discard(each)
-    near = W.partitionBy("token", F.floor(F.log("n") / 0.2231435513)).orderBy("id", "k1")
-    before = F.struct("k1", "n", "pos", "parity", "other")
-    beside = every.select(before.alias("x"), F.lag(before, 1).over(near).alias("one"), F.lag(before, 2).over(near).alias("two"))
-    beside = beside.select("x", F.explode_outer(F.array("one", "two")).alias("y")).where("y is not null").where(F.expr(fits("x", "y")))
-    pairs = store(beside.select(F.col("x.k1").alias("x"), F.col("y.k1").alias("y")).where("x != y").distinct())
-    first = verified(pairs, rows, classes)
+    shared = store(keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    every = only(keyed.select(*PLACE, "n", "parity", F.posexplode("keys").alias("pos", "key")), shared, ["key"]).join(shared, "key")
+    # a key of very many lines is dealt out in cells
+    cells = F.ceil(F.col("size") / CELL).cast("int")
+    every = store(every.select("key", cells.alias("cells"), F.pmod(F.xxhash64(*PLACE), cells).cast("int").alias("cell"), "size", F.struct(F.struct(*PLACE).alias("place"), "n", "pos", "parity").alias("x")))
+    discard(keyed, shared)
+    near = W.partitionBy("key", "cell").orderBy("x.place")
+    beside = every.select("key", "x", F.lag("x", 1).over(near).alias("one"), F.lag("x", 2).over(near).alias("two"))
+    beside = beside.select("x", F.explode(F.array("one", "two")).alias("y")).where("y is not null")
+    # of three lines or fewer each is so held against all before it
+    rest = every.where("size > 3")
+    copies = rest.join(copied.select(F.col("first").alias("place"), "copies"), F.col("x.place") == F.col("place"), "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    middle = copies.groupBy("key").agg(F.max_by("x", F.struct("copies", "x.place")).alias("most"), F.min_by("x", "x.place").alias("least"))
+    beside = beside.unionByName(rest.join(middle, "key").select("x", F.explode(F.array("most", "least")).alias("y")))
+    found = lambda df: df.where(F.expr(f"y.place < x.place AND {fits('x', 'y')}")).select(F.col("x.place").alias("x"), F.col("y.place").alias("y")).distinct()
+    pairs = store(found(beside))
+    decided = verified(pairs, rows)
     discard(pairs)
-    found = settle(earliest(first, classes).join(classes, ["k1", "k2"]).where(F.col("other") < F.col("first")).select("k1", "k2", "other"))
-
-    decided = found.select("k1").distinct()
-    may, cannot = may_and_cannot(every, decided, ["k1"])
-    may = may.join(decided.withColumn("yes", F.lit(1)), "k1", "left").withColumn("decided", F.coalesce("yes", F.lit(0))).drop("yes")
-    marked = store(may.unionByName(cannot.withColumn("decided", F.lit(0))))
-    discard(every)
-    # decided is tested with a column of the other side, so that both sides are the same rows, which are shuffled once
-    x, y = marked.alias("x"), marked.alias("y")
-    pairs = x.join(y, F.expr(f"x.token = y.token AND x.k1 != y.k1 AND x.decided + y.n <= y.n AND (y.decided + x.n > x.n OR x.k1 < y.k1) AND {fits('x', 'y')}"))
-    pairs = pairs.groupBy(F.col("x.k1").alias("x"), F.col("y.k1").alias("y")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("x.n", "y.n")).alias("n"))
-    pairs = store(pairs.where(F.expr(f"shared >= {SHARED.format('n')}")).select("x", "y"))
-    discard(marked)
-    rest = earliest(verified(pairs, rows, classes), classes)
-    return settle(found.unionByName(rest).groupBy("k1", "k2").agg(F.min("other").alias("other")))
+
+    may, cannot = may_and_cannot(rest.select("*", "x.place.*"), decided, PLACE)
+    asking = may.join(decided, PLACE, "left_anti").unionByName(cannot).select("key", "x", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    pairs = store(found(asking.join(rest.select("key", "cell", F.col("x").alias("y")), ["key", "cell"])))
+    more = verified(pairs, rows)
+    discard(pairs, every)
+    return decided.unionByName(more).distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -156,12 +160,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     base = docs.drop("n_lines", "n_removed")
     rows = base.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), h.alias("h"), F.col("text"))
     each = store(lines(rows))
-    seen = store(each.select("id", "h", "line_no", "k1", "k2"))
-    classes = store(seen.groupBy("k1", "k2").agg(F.min(F.struct("id", "h", "line_no")).alias("first")))
-    near = similar(rows, each, classes)
-    limits = classes.join(near, ["k1", "k2"], "left").select("k1", "k2", F.least("first", F.coalesce("other", "first")).alias("limit"))
-    late = seen.join(limits, ["k1", "k2"]).where(F.struct("id", "h", "line_no") > F.col("limit"))
-    removed = settle(late.groupBy("id", "h").agg(F.collect_set("line_no").alias("removed")))
+    late, copied = later_copies(each)
+    keyed = store(with_keys(each, late, copied))
+    discard(each)
+    gone = late.unionByName(similar(rows, keyed, copied))
+    removed = store(gone.groupBy("id", "h").agg(F.collect_set("line_no").alias("removed")))
     # texts that lose nothing are not shuffled
     whole = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), h.alias("h"))
     may, cannot = may_and_cannot(whole, removed, ["id", "h"])
@@ -190,7 +193,7 @@ def op4_lines(spark, sf_dir):
 OP4_SQL = r"""
 WITH l AS (SELECT doc_id, i - 1 AS no, list_distinct(regexp_extract_all(s[i], '[^\x20\x09-\x0D]+')) AS w
            FROM (SELECT doc_id, string_split(text, chr(10)) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
-c AS (SELECT list_sort(w) AS w, len(w) AS n, min((doc_id, no)) AS first, row_number() OVER () AS k FROM l WHERE len(w) >= 5 GROUP BY ALL),
+c AS (SELECT list_sort(w) AS w, len(w) AS n, min((doc_id, no)) AS first, row_number() OVER () AS k FROM l WHERE len(w) >= 1 GROUP BY ALL),
 t AS (SELECT k, n, unnest(w) AS t FROM c),
 r AS (SELECT t, count(*) AS f FROM t GROUP BY t HAVING count(*) > 1),
 o AS (SELECT t.k, t.n, t.t, row_number() OVER (PARTITION BY t.k ORDER BY coalesce(f, 1), t.t) AS p FROM t LEFT JOIN r ON t.t = r.t),
