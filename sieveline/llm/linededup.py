@@ -7,7 +7,7 @@ prefix of that order. If two sets reach the threshold, one lacks few words of th
 or added parts two pairs of neighbours at most. So the first pair that they share lies in both prefixes (`PAIRS`). Single rare words
 of a large vocabulary would be shared by ever more lines as the corpus grows; pairs of neighbours seldom are, except by similar lines.
 
-Classes that share a key pass a length filter, a positional filter and a 64-bit parity map of their words, and are verified
+Classes that share a key pass a length filter, a positional filter and two 64-bit parity maps of their words, and are verified
 on the words. A line is removed if an earlier line matches it; all filters are exact, so no match is missed.
 """
 
@@ -76,8 +76,8 @@ def later_copies(each: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_keys(each: DataFrame, late: DataFrame, copied: DataFrame) -> DataFrame:
-    """One row for each class of LEAST_JOINED words or more: the place of its first line, n, parity (64 bits, each 1 if an odd
-    number of words falls on it) and keys."""
+    """One row for each class of LEAST_JOINED words or more: the place of its first line, n, parity0 and parity6 (64 bits each,
+    1 if an odd number of words falls on it) and keys."""
     counts = rarity(each)
     may, cannot = may_and_cannot(each.where(F.col("n") >= LEAST_JOINED), copied, ["k1", "k2"])
     some = [*PLACE, "n", "tokens"]
@@ -86,16 +86,18 @@ def with_keys(each: DataFrame, late: DataFrame, copied: DataFrame) -> DataFrame:
     level = lambda x: F.get(counts, x.bitwiseAND(F.lit(COUNTERS - 1))).cast("long")
     one = one.select(*PLACE, "n", F.sort_array(F.transform("tokens", lambda x: F.shiftleft(level(x), 32) + x)).alias("order"))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    odd = lambda shift: F.aggregate("order", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(F.shiftright(x, shift)))).alias(f"parity{shift}")
     pairs = F.expr(PAIRS)
     keys = F.zip_with(F.slice("order", F.lit(1), pairs), F.slice("order", F.lit(2), pairs), lambda x, y: F.xxhash64(x, y))
-    return one.select(*PLACE, "n", F.aggregate("order", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x))).alias("parity"), keys.alias("keys"))
+    return one.select(*PLACE, "n", odd(0), odd(6), keys.alias("keys"))
 
 
 def fits(a: str, b: str) -> str:
     """The filters of two rows with the same key, in SQL: length, words left beside the pair that they can share, parity."""
     share = OVERLAP.format(a=f"{a}.n", b=f"{b}.n")
     left = f"least({a}.pos, {b}.pos) + least({a}.n - {a}.pos, {b}.n - {b}.pos)"
-    return f"5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) AND {left} >= {share} AND bit_count({a}.parity ^ {b}.parity) <= {a}.n + {b}.n - 2 * ({share})"
+    odd = lambda which: f"bit_count({a}.{which} ^ {b}.{which})"
+    return f"5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) AND {left} >= {share} AND greatest({odd('parity0')}, {odd('parity6')}) <= {a}.n + {b}.n - 2 * ({share})"
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -118,10 +120,11 @@ def similar(rows: DataFrame, keyed: DataFrame, copied: DataFrame) -> DataFrame:
     these don't decide are held against all earlier lines of a key, so that the pairs grow with the lines and not with the square of a group's size.
     """
     shared = store(keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    every = only(keyed.select(*PLACE, "n", "parity", F.posexplode("keys").alias("pos", "key")), shared, ["key"]).join(shared, "key")
+    every = keyed.select(*PLACE, "n", "parity0", "parity6", "keys", F.posexplode("keys").alias("pos", "key")).withColumn("before", F.get("keys", F.col("pos") - 1)).drop("keys")
+    every = only(every, shared, ["key"]).join(shared, "key")
     # a key of very many lines is dealt out in cells
     cells = F.ceil(F.col("size") / CELL).cast("int")
-    every = store(every.select("key", cells.alias("cells"), F.pmod(F.xxhash64(*PLACE), cells).cast("int").alias("cell"), "size", F.struct(F.struct(*PLACE).alias("place"), "n", "pos", "parity").alias("x")))
+    every = store(every.select("key", cells.alias("cells"), F.pmod(F.xxhash64(*PLACE), cells).cast("int").alias("cell"), "size", F.struct(F.struct(*PLACE).alias("place"), "n", "pos", "before", "parity0", "parity6").alias("x")))
     discard(keyed, shared)
     near = W.partitionBy("key", "cell").orderBy("x.place")
     beside = every.select("key", "x", F.lag("x", 1).over(near).alias("one"), F.lag("x", 2).over(near).alias("two"))
@@ -131,8 +134,9 @@ def similar(rows: DataFrame, keyed: DataFrame, copied: DataFrame) -> DataFrame:
     copies = rest.join(copied.select(F.col("first").alias("place"), "copies"), F.col("x.place") == F.col("place"), "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     middle = copies.groupBy("key").agg(F.max_by("x", F.struct("copies", "x.place")).alias("most"), F.min_by("x", "x.place").alias("least"))
     beside = beside.unionByName(rest.join(middle, "key").select("x", F.explode(F.array("most", "least")).alias("y")))
-    found = lambda df: df.where(F.expr(f"y.place < x.place AND {fits('x', 'y')}")).select(F.col("x.place").alias("x"), F.col("y.place").alias("y")).distinct()
-    pairs = store(found(beside))
+    # two lines that share the key before have been found there
+    found = lambda df: df.where(F.expr(f"y.place < x.place AND coalesce(x.before != y.before, true) AND {fits('x', 'y')}")).select(F.col("x.place").alias("x"), F.col("y.place").alias("y")).distinct()
+    pairs = store(found(beside.withColumn("x", F.col("x").withField("before", F.lit(None).cast("long")))))
     decided = verified(pairs, rows)
     discard(pairs)
 
