@@ -175,6 +175,19 @@ def only(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return may_and_cannot(rows, keys, on)[0]
 
 
+#: The most keys that join_counted broadcasts.
+HEAVY = 10_000
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """rows joined with keys, a stored table of one row a key and the number of rows that have it. Keys with more than a HEAVY-th
+    of all rows, HEAVY at most, are broadcast, so that none of them lands in one task; the rest are shuffled."""
+    total = keys.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first().n
+    heavy = keys.where(F.col(n) * HEAVY > total)
+    light = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(keys, on)
+    return light.unionByName(rows.join(F.broadcast(heavy), on).select(light.columns))
+
+
 def small_batches(spark: SparkSession, rows: int = 256, size: str = "4m") -> None:
     """Texts go to Python workers a few at a time: a batch of 10,000 long documents would fill a worker's memory.
     Lowers the session's limits and never raises them."""
@@ -188,24 +201,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list by alternating large-star and small-star rounds.
 
     Returns one row (node, root) for each node that has an edge to another node; root is the component's smallest node.
-    Each round is a grouped minimum with map-side combination and an equi-join, so a node with very many
-    neighbours never has them gathered in one task; the number of rounds grows with the logarithm of the
+    Each round is a grouped minimum with map-side combination and a join that broadcasts the minima of the nodes with very
+    many neighbours, so that these are not gathered in one task; the number of rounds grows with the logarithm of the
     number of nodes. Self-loops and null ends are ignored; no edges give no rows.
     """
     x, y = F.col(a), F.col(b)
     pairs = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
-    pairs = settle(pairs.distinct())
+    pairs = store(pairs.distinct())
     state = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = store(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
         # large star: neighbours above u hang below the least of u and its neighbours
-        large = pairs.select(F.col("v").alias("u"), F.col("u").alias("v")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        large = pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large = join_counted(large, low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = store(large.where("u != v").distinct())
         # small star: u and its lower neighbours hang below the lowest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        pairs = settle(small.where("u != v").distinct())
+        least = store(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = join_counted(large, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        last, pairs = pairs, store(small.where("u != v").distinct())
+        discard(last, low, large, least)
         now = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import LAST, SPACES, discard, line_words, may_and_cannot, odd_space, only, read, store, words
+from sieveline.llm.common import LAST, SPACES, discard, join_counted, line_words, may_and_cannot, odd_space, only, read, store, words
 
 #: Counters of the rarity order, a power of two.
 COUNTERS = 1 << 18
@@ -32,8 +32,8 @@ OVERLAP = "(4 * ({a} + {b}) + 8) div 9"
 #: that 2 * p + q <= 2 * n / 3 - m / 3 <= 2 * n / 5 pairs are parted.
 PAIRS = "(2 * n) div 5 + 1"
 PLACE = ["id", "h", "line_no"]
-#: The most classes of copies whose first places are broadcast, and rows of a key that are compared in one task.
-HEAVY, CELL = 10_000, 4096
+#: Rows of a key that are compared in one task.
+CELL = 4096
 
 
 def split(rows: DataFrame) -> DataFrame:
@@ -67,11 +67,7 @@ def later_copies(each: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The places of the lines whose set of words an earlier line has, and those sets: k1, k2, copies, first (the place of the
     earliest line)."""
     copied = store(each.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*PLACE)).alias("first")).where("copies > 1"))
-    total = copied.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first().n
-    heavy = copied.where(F.col("copies") * HEAVY > total)  # HEAVY rows at most, so that no other key has more than a HEAVY-th of all
-    some = only(each.select(*PLACE, "k1", "k2"), copied, ["k1", "k2"])
-    light = some.join(F.broadcast(heavy.select("k1", "k2")), ["k1", "k2"], "left_anti").join(copied, ["k1", "k2"])
-    both = light.unionByName(some.join(F.broadcast(heavy), ["k1", "k2"]).select(light.columns))
+    both = join_counted(only(each.select(*PLACE, "k1", "k2"), copied, ["k1", "k2"]), copied, ["k1", "k2"], "copies")
     return store(both.where(F.struct(*PLACE) > F.col("first")).select(*PLACE)), copied
 
 

@@ -9,7 +9,8 @@ name), or its own fingerprint if it has none, so equal windows always have equal
 
 Spark then finds the anchors that more than one document has. Runs of windows under one anchor whose words are the same
 as a whole are one kind, however many documents have it. Only where an anchor has several kinds are their windows
-compared one by one, of one document a kind. All comparisons are of 128-bit fingerprints of the words.
+compared one by one, of one document a kind. All comparisons are of two fingerprints: polynomials over the halves of 128-bit word
+hashes, modulo 2^61 - 1.
 """
 
 from __future__ import annotations
@@ -21,51 +22,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import LAST, U, mix, only, read, settle, small_batches, store
+from sieveline.llm.common import LAST, U, discard, join_counted, mix, only, read, small_batches, store
 
 ROUNDS = 4
 #: The most words under one symbol.
 WIDEST = 16
 #: Words parsed at a time; longer texts are parsed in segments that overlap by a window less one word.
 SEGMENT = 1 << 16
+#: Random-looking constants of the names.
 BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Fingerprints are polynomials modulo this prime, at two fixed points.
+PRIME = (1 << 61) - 1
+POINTS = (0x1B873593CC9E2D51 % PRIME, 0x165667B19E3779F9 % PRIME)
 
 
-#: A random-looking value for each byte.
-BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of numbers below it: products of halves of 30 and 31 bits fit 64."""
+    low = U((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> U(31), a & low, b >> U(31), b & low
+    middle = a1 * b0 + a0 * b1
+    return reduced(((a1 * b1) << U(1)) + (middle >> U(30)) + ((middle & U((1 << 30) - 1)) << U(31)) + a0 * b0)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for any 64 bits."""
+    x = (x & U(PRIME)) + (x >> U(61))
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
 
 
 class Powers:
-    """Powers of an odd base modulo 2^64, and of its inverse, as far as asked for."""
+    """Powers of a point modulo PRIME, and of its inverse, as far as asked for."""
 
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse = base, U(pow(int(base), -1, 1 << 64))
+    def __init__(self, point: int):
+        self.points = point, pow(point, -1, PRIME)
         self.up = self.down = np.ones(1, U)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            n = max(n, 2 * len(self.up))
-            self.up, self.down = (np.concatenate([np.ones(1, U), np.cumprod(np.full(n, b, U))]) for b in (self.base, self.inverse))
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up, self.down = (np.concatenate([x, times(x, np.full(k, pow(p, k, PRIME), U))]) for x, p in zip((self.up, self.down), self.points, strict=True))
         return self.up, self.down
 
 
-POWERS = tuple(map(Powers, BASES))
+POWERS = tuple(map(Powers, POINTS))
 
 
 def ranged(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
     """A hash of values[start:end] for each start and end that depends on the values alone."""
     up, down = POWERS[which].to(len(values) + 1)
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(values * up[: len(values)])])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * BASES[which])
+    terms = times(reduced(values), up[: len(values)])
+    # halves are summed apart, so that the sums of millions of terms fit
+    sums = [np.concatenate([np.zeros(1, U), np.cumsum(x)]) for x in (terms >> U(31), terms & U((1 << 31) - 1))]
+    high, low = (reduced(x[ends] - x[starts]) for x in sums)
+    total = reduced(times(high, np.full(len(high), 1 << 31, U)) + low)
+    return mix(times(total, down[starts]) + (ends - starts).astype(U) * BASES[which])
+
 
+def word_hashes(data: bytes) -> np.ndarray:
+    """(words, 2): the two halves of a 128-bit hash of each word."""
+    from xxhash import xxh3_128_digest
 
-def word_hashes(data: bytes, which: int = 0) -> np.ndarray:
-    b = np.frombuffer(data, np.uint8)
-    inside = np.concatenate([[False], ~SPACE[b], [False]])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    return ranged(BYTE[b], edge[::2], edge[1::2], which)
+    return np.frombuffer(b"".join(map(xxh3_128_digest, data.split())), U).reshape(-1, 2)
 
 
 def symbols(words: np.ndarray, cuts: np.ndarray, rounds: int = ROUNDS, widest: int = WIDEST):
@@ -137,7 +154,7 @@ def anchors(words: np.ndarray, cuts: np.ndarray, window: int):
     new = np.concatenate([[True], (name[1:] != name[:-1]) | (seg[1:] != seg[:-1])]) if len(at) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    return seg[first], at[first], at[last], name[first], ranged(words, at[first], at[last] + window, 1)
+    return seg[first], at[first], at[last], name[first], ranged(words, at[first], at[last] + window, 0)
 
 
 def find_anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -152,7 +169,7 @@ def find_anchors(docs: DataFrame, window: int) -> DataFrame:
             def out():
                 cuts = np.cumsum([0, *map(len, held)])
                 seg, lo, hi, name, r1 = anchors(np.concatenate(held), cuts, window)
-                r2 = ranged(np.concatenate(more), lo, hi + window, 0)
+                r2 = ranged(np.concatenate(more), lo, hi + window, 1)
                 d = np.array(of)[seg]
                 shift = cuts[seg] - np.array(off)[seg]
                 for x in (held, more, of, off):
@@ -162,10 +179,10 @@ def find_anchors(docs: DataFrame, window: int) -> DataFrame:
 
             for k, t in enumerate(b.column(2)):
                 data = (t.as_py() or "").encode("utf-8", "replace")
-                words = word_hashes(data, 0)
-                if len(words) < window:
+                both = word_hashes(data)
+                if len(both) < window:
                     continue
-                others = word_hashes(data, 1)
+                words, others = both[:, 0].copy(), both[:, 1].copy()
                 for at in range(0, len(words) - window + 1, SEGMENT - window + 1):
                     held.append(words[at : at + SEGMENT])
                     more.append(others[at : at + SEGMENT])
@@ -192,7 +209,7 @@ def window_prints(docs: DataFrame, window: int) -> DataFrame:
             kind, lo, hi = (runs.flatten().field(k).to_numpy() for k in range(3))
             for k, t in enumerate(b.column(2)):
                 data = t.as_py().encode("utf-8", "replace")
-                one, two = word_hashes(data, 0), word_hashes(data, 1)
+                one, two = word_hashes(data).T.copy()
                 for s in range(at[k], at[k + 1], 4096):
                     own = np.arange(s, min(s + 4096, at[k + 1]))
                     sizes = hi[own] - lo[own] + 1
@@ -228,7 +245,7 @@ def remove(marked: DataFrame, window: int, text: bool) -> DataFrame:
 
 
 def _with_text(rows: DataFrame, keyed: DataFrame) -> DataFrame:
-    return only(rows.select("id", "h", "text"), keyed, ["id", "h"]).join(keyed, ["id", "h"])
+    return only(rows.select("id", "h", "text"), keyed, ["id", "h"]).dropDuplicates(["id", "h"]).join(keyed, ["id", "h"])
 
 
 def dedup_substrings(docs: DataFrame, window: int = 50, text: bool = False) -> DataFrame:
@@ -245,21 +262,24 @@ def dedup_substrings(docs: DataFrame, window: int = 50, text: bool = False) -> D
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), F.col("text").cast("string").alias("text"))
     found = store(find_anchors(rows, window))
-    common = found.groupBy("name").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("name")
-    shared = store(found.join(common, "name"))
+    common = store(found.groupBy("name").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("name", "n"))
+    shared = store(join_counted(only(found, common, ["name"]), common, ["name"]).drop("n"))
+    discard(found)
     # runs of windows with equal words are one kind; in all its documents but the first every window is a repeat
     same = ["name", "r1", "r2"]
-    kinds = settle(shared.groupBy(*same).agg(F.min(F.struct("id", "h", "lo", "hi")).alias("rep")).select(*same, "rep.*"))
-    repeats = shared.join(kinds.select(*same, F.col("id").alias("first")), same).where("id > first").select("id", "h", "lo", "hi")
+    kinds = store(shared.groupBy(*same).agg(F.min(F.struct("id", "h", "lo", "hi")).alias("rep"), F.count(F.lit(1)).alias("n")).select(*same, "rep.*", "n"))
+    repeats = join_counted(shared, kinds.select(*same, F.col("id").alias("first"), "n"), same).where("id > first").select("id", "h", "lo", "hi")
     # the first document of a kind can repeat windows of another kind with the same anchor
-    several = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    reps = settle(kinds.join(several, "name").groupBy("id", "h").agg(F.collect_list(F.struct(F.xxhash64(*same).alias("kind"), "lo", "hi")).alias("runs")))
+    several = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("name")
+    reps = store(kinds.join(several, "name").groupBy("id", "h").agg(F.collect_list(F.struct(F.xxhash64(*same).alias("kind"), "lo", "hi")).alias("runs")))
     prints = store(window_prints(_with_text(rows, reps), window))
     least = prints.groupBy("f1", "f2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("f1", "f2", "first")
     later = prints.join(least, ["f1", "f2"]).where("id > first").select("kind", "id", "at")
     others = shared.withColumn("kind", F.xxhash64(*same)).join(later, ["kind", "id"]).select("id", "h", (F.col("lo") + F.col("at")).alias("lo"), (F.col("lo") + F.col("at")).alias("hi"))
-    marked = settle(repeats.unionByName(others).groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
-    changed = remove(_with_text(rows, marked), window, text).dropDuplicates(["id", "h"])
+    # a set, since rows that are equal in doc_id and text have the same runs
+    marked = store(repeats.unionByName(others).groupBy("id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")))
+    discard(shared, kinds, reps, prints)
+    changed = remove(_with_text(rows, marked), window, text)
 
     def whole(batches):
         for b in batches:
