@@ -27,6 +27,7 @@ NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "p
 #: The score of a confirmed span, what a word nearby adds, and those words.
 SCORES = {"email": (0.9, 0.1), "ip": (0.6, 0.2), "card": (0.7, 0.3), "phone": (0.5, 0.3), "iban": (0.8, 0.2), "ssn": (0.3, 0.5)}
 WORDS = {"email": "mail|contact", "ip": "ip|address|host|server", "card": "card|credit|debit|visa|payment", "phone": "phone|tel|call|mobile|fax", "iban": "iban|bank|account", "ssn": "ssn|social|security"}
+NEAR = {k: rf"\b(?:{w})\b" for k, w in WORDS.items()}
 #: Characters before and after a span in which such words count; kinds beyond the base need the score.
 BEFORE, AFTER, LEAST = 40, 20, 0.5
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -71,10 +72,11 @@ def confirmed(kind: str, match: Column) -> Column:
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id and pii, the spans of the text: (start, ord, end, kind, score), in order of start and kind.
 
-    Base kinds keep every confirmed span; others also need a score of LEAST, which some reach only with context.
+    Base kinds keep every confirmed span; others also need a score of LEAST, which some reach only with context: whole words
+    that speak of the kind, just before or after.
 
-    Edge cases: null and empty texts have no spans; rows with the same doc_id are each searched; texts of any length are
-    searched whole; an empty table gives no rows; other columns of docs are ignored.
+    Edge cases: null and empty texts have no spans; a null doc_id stays null; rows with the same doc_id are each searched; texts of
+    any length and with any number of spans are searched whole; an empty table gives no rows; other columns of docs are ignored.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = spans.find(rows, "text", {k: (PATTERNS[k], F.col("text").contains("@") if k == "email" else F.col("text").rlike(NEEDS[k])) for k in KINDS})
@@ -83,13 +85,18 @@ def find_pii(docs: DataFrame) -> DataFrame:
         base, more = SCORES[kind]
 
         def one(x: Column) -> Column:
-            near = F.lower(F.concat_ws(" ", F.col("text").substr(F.greatest(x["start"] - BEFORE, F.lit(0)) + 1, F.least(x["start"], F.lit(BEFORE))), F.col("text").substr(x["end"] + 1, F.lit(AFTER))))
-            score = F.lit(base) + F.when(near.rlike(WORDS[kind]), more).otherwise(0.0)
+            before = spans.part(F.col("chunks"), F.greatest(x["start"] - BEFORE, F.lit(0)), F.least(x["start"], F.lit(BEFORE)))
+            near = F.lower(F.concat_ws(" ", before, spans.part(F.col("chunks"), x["end"], F.lit(AFTER))))
+            score = F.lit(base) + F.when(near.rlike(NEAR[kind]), more).otherwise(0.0)
             return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("ord"), x["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
 
         found = F.transform(F.filter(kind, lambda x: confirmed(kind, x["match"])), one)
         return found if kind in BASE else F.filter(found, lambda x: x["score"] >= LEAST)
 
+    any_found = F.lit(False)
+    for k in KINDS:
+        any_found = any_found | (F.size(k) > 0)
+    rows = rows.withColumn("chunks", F.when(any_found, spans.chunks(F.col("text"))))
     return rows.select("doc_id", F.array_sort(F.concat(*map(scored, KINDS))).alias("pii"))
 
 
@@ -98,7 +105,7 @@ def op5_pii(spark, sf_dir):
     of = lambda k: F.filter("pii", lambda x: x["kind"] == k)
     base = F.filter("pii", lambda x: x["ord"] < len(BASE))
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(spans.joined(base, KINDS), 256).alias("base_sha256"), spans.joined(F.col("pii"), KINDS).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(spans.joined(base, KINDS), 256).alias("base_sha256"), spans.joined(F.col("pii"), KINDS).alias("spans"), F.round(F.array_max(F.transform("pii", lambda x: x["score"])), 2).alias("max_score"))
 
 
 def _near(words: str) -> str:
@@ -116,7 +123,8 @@ OP5_SQL = spans.sql(
         ("card", r"[0-9](?:[\x20-]?[0-9])+", f"CASE WHEN length({_DIGITS}) BETWEEN 12 AND 19 THEN {_LUHN} ELSE false END"),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
         ("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", _MOD97),
-        ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", _near(WORDS["ssn"])),
+        ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", _near(NEAR["ssn"])),
     ],
     len(BASE),
+    [f"{SCORES[k][0]} + CASE WHEN {_near(NEAR[k])} THEN {SCORES[k][1]} ELSE 0 END" for k in KINDS],
 )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm import spans
-from sieveline.llm.common import read
+from sieveline.llm.common import may_and_cannot, read, store
 
 BASE = ("assign", "access", "hex")
 #: Java patterns, read without regard to case where they start with (?i). The base kinds' lengths beyond what the pattern says are tested by `kept`.
@@ -162,7 +162,10 @@ def find_secrets(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("h"), text.alias("text"))
-    held = rows.join(candidates(rows, rules), ["id", "h"], "left")
+    # texts that are no rule's candidates are not shuffled
+    asked = store(candidates(rows, rules))
+    may, cannot = may_and_cannot(rows, asked, ["id", "h"])
+    held = may.join(asked, ["id", "h"], "left").unionByName(cannot.withColumn("rules", F.array().cast("array<string>")))
     everywhere = [r for r, p in rules.items() if not trigram_query(p)]
     found = spans.find(held, "text", {r: (p, F.lit(True) if r in everywhere else F.array_contains("rules", r)) for r, p in rules.items()})
     return found.select("doc_id", F.array_sort(F.concat(*[_spans(k, r) for k, r in enumerate(rules)])).alias("secrets"))
