@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import components, read, settle, small_batches
+from sieveline.llm.common import components, read, settle, small_batches, store
 from sieveline.llm.simhash import grouped, stars
 
 TREES = 10
@@ -101,29 +101,50 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def matrix(column) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def matrix(column, dims: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a list column as rows, with zeros after the shorter ones, which leaves the cosines of equally long ones
+    as they are; and their lengths."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(column), max(dims, int(sizes.max(initial=0)))))
+    own = np.arange(out.shape[1]) < sizes[:, None]
+    out[own] = column.flatten().to_numpy(zero_copy_only=False)
+    return out, sizes
 
 
-def fit(classes: DataFrame, n: int, trees: int, sample: int) -> list[Tree]:
+def fit(classes: DataFrame, n: int, dims: int, trees: int, sample: int) -> list[Tree]:
     """Trees on the vectors of the `sample` classes with the least hashes."""
     some = classes.orderBy(F.xxhash64("h"), "h").limit(sample).select("v").toArrow()
-    x = unit(matrix(some.column(0).combine_chunks()))
+    x = unit(matrix(some.column(0).combine_chunks(), dims)[0])
     least = max(LEAF_SAMPLE, LEAF * len(x) // n)
     extra = max(0, math.ceil(math.log(n * least / len(x) / (2 * LEAF)) / math.log(2))) if n * least > 2 * LEAF * len(x) else 0
     return [Tree(x, seed, least, extra) for seed in range(trees)]
 
 
-def linked(classes: DataFrame, n: int, threshold: float, trees: int, sample: int, cell: int) -> DataFrame:
-    """classes: h, n, v. Rows (a, b, links): class a has `links` partners that it shares no earlier leaf with, or,
-    with links null, a is joined to b."""
-    forest = fit(classes, n, trees, sample)
+def shares_earlier(lists: list[np.ndarray], cell: int) -> np.ndarray:
+    """Which pairs of rows have a cell before this one in common. Only cells that at least two of the rows have count, and
+    each marks its pairs, so that nothing grows with the number of different cells."""
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    name = np.concatenate(lists)
+    row, name = row[name < cell], name[name < cell]
+    order = np.argsort(name, kind="stable")
+    row, name = row[order], name[order]
+    out = np.zeros((len(lists), len(lists)), bool)
+    for own in np.split(row, np.flatnonzero(np.diff(name)) + 1):
+        if len(own) > 1:
+            out[np.ix_(own, own)] = True
+    return out
+
+
+def linked(classes: DataFrame, n: int, dims: int, threshold: float, trees: int, sample: int, cell: int) -> DataFrame:
+    """classes: h, n, v, stored; dims: the greatest length. Rows (a, b, links): class a has `links` partners that it shares no
+    earlier leaf with, or, with links null, a is joined to b."""
+    forest = fit(classes, n, dims, trees, sample)
 
     def route(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            x = unit(matrix(b.column(2)))
+            x = unit(matrix(b.column(1), dims)[0])
             rows, cells = zip(*(t.route(x) for t in forest), strict=True)
             cells = np.concatenate([c + (k << 48) for k, c in enumerate(cells)])
             rows = np.concatenate(rows)
@@ -131,13 +152,13 @@ def linked(classes: DataFrame, n: int, threshold: float, trees: int, sample: int
             rows, cells = rows[order], cells[order]
             starts = np.searchsorted(rows, np.arange(len(x) + 1))
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(cells))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], ["h", "n", "v", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["h", "cells"])
 
-    kind = classes.schema["v"].dataType.simpleString()
-    routed = classes.select("h", "n", "v").mapInArrow(route, f"h bigint, n bigint, v {kind}, cells array<bigint>")
-    routed = routed.select(F.explode("cells").alias("cell"), "h", "n", "v", "cells")
-    sizes = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = routed.join(sizes, "cell").withColumn("g", F.ceil(F.col("size") / cell).cast("int")).withColumn("c", F.pmod(F.xxhash64("h"), F.col("g")).cast("int"))
+    # each vector is routed once; where it belongs is narrow, and vectors join it for the comparison only
+    routed = store(classes.select("h", "v").mapInArrow(route, "h bigint, cells array<bigint>"))
+    sizes = store(routed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    rows = classes.join(routed, "h").select("h", "n", "v", "cells", F.explode("cells").alias("cell")).join(sizes, "cell")
+    rows = rows.withColumn("g", F.ceil(F.col("size") / cell).cast("int")).withColumn("c", F.pmod(F.xxhash64("h"), F.col("g")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j")))
     rows = rows.select("cell", F.inline(pairs), "c", "h", "n", "v", "cells")
     rows = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "h")
@@ -146,23 +167,18 @@ def linked(classes: DataFrame, n: int, threshold: float, trees: int, sample: int
         for cells, i, j, c, h, n, v, lists in grouped(batches, 3):
             if len(h) < 2:
                 continue
-            x = unit(np.stack(list(v)))
-            before = [[k for k in own if k < cells[0]] for own in lists]
-            names = {k: m for m, k in enumerate({k for own in before for k in own})}
-            shared = np.zeros((len(h), max(1, len(names))), np.float32)
-            for r, own in enumerate(before):
-                shared[r, [names[k] for k in own]] = 1
-            links, a, b = np.zeros(len(h), np.int64), [], []
+            x, sizes = matrix(pa.array(v))
+            x = unit(x)
+            near = np.empty((len(h), len(h)), bool)
             for s in range(0, len(h), 512):
-                near = x[s : s + 512] @ x.T >= threshold
-                near[np.arange(len(near)), np.arange(s, s + len(near))] = False
-                if i[0] != j[0]:
-                    near &= c[s : s + 512, None] != c[None, :]
-                p, q = np.nonzero(near)
-                a.append(p + s)
-                b.append(q)
-                links[s : s + 512] = (near & ~(shared[s : s + 512] @ shared.T > 0)) @ n
-            root = stars(len(h), np.concatenate(a), np.concatenate(b))
+                near[s : s + 512] = x[s : s + 512] @ x.T >= threshold
+            near &= sizes[:, None] == sizes[None, :]
+            np.fill_diagonal(near, False)
+            if i[0] != j[0]:
+                near &= c[:, None] != c[None, :]
+            a, b = np.nonzero(near)
+            links = ((near & ~shares_earlier(list(lists), cells[0])) * n[None, :]).sum(1) if len(a) else np.zeros(len(h), np.int64)
+            root = stars(len(h), a, b)
             own, has = np.flatnonzero(root != np.arange(len(h))), np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([h[own], h[has]])),
@@ -178,8 +194,8 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, trees: int = TREES
 
     Links are the pairs found with a cosine of at least the threshold; component_id is the smallest vec_id reachable.
 
-    Edge cases: embeddings that are null, empty, zero, or hold null or non-finite components link with nothing, and so
-    do those whose length is not the table's most frequent one; equal embeddings always link; a row without vec_id
+    Edge cases: embeddings that are null, empty, zero, or hold null or non-finite components link with nothing; those of
+    different lengths don't link with each other; equal embeddings always link; a row without vec_id
     links like any other but is never the smallest, so its component_id is null if no linked row has one, and it is not kept;
     repeated rows are rows of their own; an empty table gives no rows; other columns are ignored.
     """
@@ -188,20 +204,20 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, trees: int = TREES
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce(~bad & F.exists(e, lambda x: x != 0), F.lit(False))
     rows = table.select("vec_id", F.when(usable, e).alias("v")).withColumn("d", F.coalesce(F.size("v"), F.lit(-1)))
-    top = rows.where("d > 0").groupBy("d").count().orderBy(F.desc("count"), "d").first()
+    dims = rows.agg(F.max("d").alias("d")).first().d
     alone = lambda r: r.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    if top is None:
+    if dims is None or dims <= 0:
         return alone(rows)
-    some = rows.where(F.col("d") == top.d).withColumn("h", F.xxhash64("v"))
+    some = rows.where("d > 0").withColumn("h", F.xxhash64("v"))
     classes = settle(some.groupBy("h").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")))
-    found = settle(linked(classes, classes.count(), threshold, trees, sample, cell))
+    found = settle(linked(classes, classes.count(), dims, threshold, trees, sample, cell))
     links = found.where("links is not null").groupBy(F.col("a").alias("h")).agg(F.sum("links").alias("links"))
     roots = components(found.where("links is null")).withColumnRenamed("node", "h")
     named = classes.select("h", "first", "n").join(roots, "h", "left").join(links, "h", "left").withColumn("root", F.coalesce("root", "h"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = named.join(least, "root").select("h", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")
-    return some.select("vec_id", "h").join(of, "h").select("vec_id", "n_links", "component_id", kept).unionByName(alone(rows.where(F.col("d") != top.d)))
+    return some.select("vec_id", "h").join(of, "h").select("vec_id", "n_links", "component_id", kept).unionByName(alone(rows.where("d <= 0")))
 
 
 def op10_embedding(spark, sf_dir):

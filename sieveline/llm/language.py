@@ -9,7 +9,6 @@ Spark counts words by language, each round spreads each word's count over its se
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from functools import cache
 from itertools import chain
@@ -23,8 +22,8 @@ from sieveline.llm.common import read, settle, small_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"
-#: Words are lower-cased and cut into parts of so many characters; a part's probability then fits a double.
-PART = 24
+#: The probabilities of words of so many characters fit a double; those of longer ones are added up as logarithms.
+SHORT = 24
 #: Parts whose probabilities a Python worker keeps, and words that it counts, before it starts anew.
 HELD = 200_000
 #: Bytes of texts scored at a time.
@@ -43,13 +42,16 @@ def vocabulary(path: str) -> list[str]:
     return list(dict.fromkeys(sp.id_to_piece(i).lower() for i in ids))
 
 
-LONG = re.compile(rf"\S{{{PART + 1}}}")
+def parts(text: str | None) -> list[str]:
+    """The words of a text in lower case, whole."""
+    return (text or "").lower().split()
 
 
-def parts(text: str | None) -> list[str]:
-    low = (text or "").lower()
-    found = low.split()
-    return [w[k : k + PART] for w in found for k in range(0, len(w), PART)] if LONG.search(low) else found
+def summed(logs: list[np.ndarray]) -> np.ndarray:
+    """The logarithm of the sum of what these are the logarithms of; all may be -inf."""
+    top = np.maximum.reduce(logs)
+    with np.errstate(divide="ignore"):
+        return np.where(top > -np.inf, top + np.log(sum(np.exp(x - np.where(top > -np.inf, top, 0)) for x in logs)), -np.inf)
 
 
 class Lattice:
@@ -117,12 +119,42 @@ class Lattice:
             alpha.append(sum(alpha[s] * table[ids] for s, ids in end))
         return alpha
 
+    def forward_logs(self, edges, logs: np.ndarray) -> list[np.ndarray]:
+        """The same by logarithms, for words of any length."""
+        alpha = [np.zeros((len(edges[-1][0][1]), logs.shape[1]))]
+        for end in edges[1:]:
+            alpha.append(summed([alpha[s] + logs[ids] for s, ids in end]))
+        return alpha
+
+    def log_probability(self, words: list[str], length: int, table: np.ndarray) -> np.ndarray:
+        """(words, languages); length: of each word with its start mark."""
+        edges = self.edges(words, length)
+        if length <= SHORT + 1:
+            return np.log(np.maximum(self.forward(edges, table)[-1], 1e-300))
+        with np.errstate(divide="ignore"):
+            return self.forward_logs(edges, np.log(table))[-1]
+
     def expected(self, edges, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The expected number of uses of each piece, if word i is seen counts[i] times; table has one language."""
+        out = np.zeros(self.size + 2)
+        if len(edges) > SHORT + 2:
+            with np.errstate(divide="ignore"):
+                logs = np.log(table)
+            alpha = self.forward_logs(edges, logs)
+            # the parts of each beta, and from the end on the beta itself, as logarithms
+            beta = [[] for _ in edges]
+            beta[-1] = [np.log(counts)[:, None] - alpha[-1]]
+            for e in range(len(edges) - 1, 0, -1):
+                own = summed(beta[e]) if beta[e] else np.full_like(alpha[0], -np.inf)
+                beta[e] = []
+                for s, ids in edges[e]:
+                    through = logs[ids] + own
+                    beta[s].append(through)
+                    out += np.bincount(ids, np.exp(alpha[s] + through)[:, 0], self.size + 2)
+            return out
         alpha = self.forward(edges, table)
         beta = [np.zeros_like(alpha[0]) for _ in edges]
         beta[-1] += counts[:, None] / np.maximum(alpha[-1], 1e-300)
-        out = np.zeros(self.size + 2)
         for e in range(len(edges) - 1, 0, -1):
             for s, ids in edges[e]:
                 through = table[ids] * beta[e]
@@ -137,12 +169,13 @@ def lattice(pieces: tuple[str, ...]) -> Lattice:
 
 
 def by_length(found: list[str], most: int = 20_000):
-    """Indexes of words of equal length, a bounded number at a time."""
+    """Indexes of words of equal length, with their start mark, a bounded number of characters at a time."""
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     for n in np.unique(lengths).tolist():
         at = np.flatnonzero(lengths == n)
-        for k in range(0, len(at), most):
-            yield n + 1, at[k : k + most]
+        step = max(1, most * SHORT // max(n, SHORT))
+        for k in range(0, len(at), step):
+            yield n + 1, at[k : k + step]
 
 
 def gathered(batches, size, most: int):
@@ -232,7 +265,7 @@ def predict(docs: DataFrame, langs: list[str], pieces: tuple[str, ...], table: n
             new = list(set(flat) - held.keys())
             more = np.empty((len(new), len(langs)))
             for length, at in by_length(new):
-                more[at] = np.log(np.maximum(net.forward(net.edges([new[i] for i in at], length), table)[-1], 1e-300))
+                more[at] = net.log_probability([new[i] for i in at], length, table)
             held.update(zip(new, range(len(logs), len(logs) + len(new)), strict=True))
             logs = np.concatenate([logs, more])
             ends = np.cumsum([len(x) for x in words])
@@ -263,7 +296,7 @@ def language_id(docs: DataFrame, path: str = VOCABULARY, folds: int = 4, held: i
 
     Edge cases: texts that are null or have no letter are `und` with score 0, and so is everything if no row has both a
     lang and a text to learn from; a null doc_id counts as an empty one; rows with the same doc_id are each scored;
-    words of any length are used whole, in parts; an empty table gives no rows; other columns are ignored. The best
+    words of any length are used whole; an empty table gives no rows; other columns are ignored. The best
     of equally probable languages is the first by name.
     """
     small_batches(docs.sparkSession)

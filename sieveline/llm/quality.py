@@ -21,8 +21,8 @@ from sieveline.llm.language import fold
 #: Bytes of a chunk and from one chunk to the next; bytes of a step; a filter sees two steps.
 CHUNK, HOP, STEP = 512, 448, 4
 DIMS, FILTERS = 8, 32
-#: The most labelled rows of each class and chunks of each that a fit uses, its steps and rows a step.
-FIT_ROWS, FIT_CHUNKS, FIT_STEPS, FIT_BATCH = 2000, 8, 500, 48
+#: The most labelled rows of each class that a fit uses, the most bytes of their texts, its steps and rows a step.
+FIT_ROWS, FIT_BYTES, FIT_STEPS, FIT_BATCH = 2000, 1 << 16, 500, 48
 #: Chunks scored at a time.
 BATCH = 1024
 THRESHOLD = 0.3
@@ -105,8 +105,8 @@ def fit_net(x: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, folds: int = 5, held: int = 0) -> Net:
-    """A network for labels.quality. At most `rows` labelled rows of each class, those with the least md5 of doc_id, and
-    FIT_CHUNKS evenly spaced chunks of each are used, weighed so that the classes keep their shares."""
+    """A network for labels.quality. At most `rows` labelled rows of each class, those with the least md5 of doc_id, are used, whole,
+    but for those above FIT_BYTES; they are weighed so that the classes keep their shares."""
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(folds) != held))
     shares = {r.quality: r.n for r in usable.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = [usable.where(F.col("quality") == q).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows) for q in (0, 1)]
@@ -114,13 +114,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, folds: int = 5
 
     def take(batches):
         for b in batches:
-            out = []
-            for t in b.column(1).to_pylist():
-                c = chunks(t)
-                out.append(c[np.unique(np.linspace(0, len(c) - 1, FIT_CHUNKS).astype(int))].tobytes())
+            out = [chunks(t).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], ["doc_id", "quality", "data"])
 
     some = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")
+    # rows that repeat a doc_id teach once, so that what comes to the driver stays bounded
+    some = some.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES).dropDuplicates(["doc_id"])
     got = some.mapInArrow(take, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, data binary").collect()
     got.sort(key=lambda r: (r.doc_id, r.quality, r.data))
     y = np.array([r.quality for r in got], float)
