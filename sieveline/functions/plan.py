@@ -14,3 +14,15 @@ def fixed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """
     kept = [c for c in df.columns if c not in columns]
     return df.select(*kept, F.inline(F.array(F.struct(*[x.alias(c) for c, x in columns.items()]))))
+
+
+#: Bytes that one split of a large table has.
+SPLIT = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out over all cores if it is too small for a split a core: a file of one row group is read by one task, whatever
+    its splits. Tables of more than that are read by enough tasks and pass unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPLIT * cores else df

@@ -67,5 +67,12 @@ def is_log(trim: Column) -> Column:
     return (F.octet_length(trim) >= 30) & F.lower(trim).rlike(LOG_WORDS)
 
 
+def may_log(content: Column) -> Column:
+    """Whether some line may be one of a log."""
+    low = F.lower(content)
+    first, second = LOG_WORDS.split("|")
+    return F.contains(low, F.lit(first)) | F.contains(low, F.lit(second))
+
+
 def file_flags(path: Column) -> list[Column]:
     return [paths.is_source(path).alias("is_source"), paths.is_netrc(path).alias("is_netrc"), paths.without_entropy(path).alias("no_entropy"), paths.is_test_path(path).alias("is_test")]

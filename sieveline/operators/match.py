@@ -38,6 +38,22 @@ def any_prefix(low: Column, sigs: list[Signature]) -> Column:
     return out
 
 
+def may_stand_alone(text: Column, sigs: list[Signature]) -> Column:
+    """Whether some prefix occurs where no letter, digit or underscore precedes. Short prefixes occur within words of most
+    lines, so this is asked before occurrences are placed."""
+    heads = sorted({s.prefix.lower() for s in sigs})
+    short = [p for p in heads if not any(q != p and p.startswith(q) for q in heads)]
+    return text.rlike("(?i)(?<![A-Za-z0-9_])(?:" + "|".join(f"\\Q{p}\\E" for p in short) + ")")
+
+
+def any_joined_prefix(text: Column, sigs: list[Signature]) -> Column:
+    """Whether a prefix occurs that need not stand alone, since it begins with an underscore."""
+    out = F.lit(False)
+    for p in sorted({s.prefix.lower() for s in sigs if s.prefix.startswith("_")}):
+        out = out | F.contains(F.lower(text), F.lit(p))
+    return out
+
+
 def overlaps_itself(prefix: str) -> bool:
     return any(prefix.endswith(prefix[:k]) for k in range(1, len(prefix)))
 

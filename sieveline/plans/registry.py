@@ -17,7 +17,7 @@ from sieveline.config import EXCLUDE_EXTENSIONS, EXCLUDE_PATHS, Config
 from sieveline.functions import entropy as E
 from sieveline.functions import paths
 from sieveline.functions import strings as S
-from sieveline.functions.plan import fixed
+from sieveline.functions.plan import fixed, spread
 from sieveline.operators import context, lines, match, plausible, report, resolve
 from sieveline.plans import scan as plan
 from sieveline.sources import git
@@ -48,7 +48,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), F.coalesce("text", F.lit("")).alias("content"))
+    return table(spark, sf_dir, "documents").select("doc_id", document_path().alias("file_path"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+def document_path():
+    """A path for every document, also without source or doc_id."""
+    return F.concat(F.lit("src/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt"))
 
 
 def pages(spark, sf_dir) -> DataFrame:
@@ -56,7 +61,7 @@ def pages(spark, sf_dir) -> DataFrame:
 
 
 def document_lines(spark, sf_dir) -> DataFrame:
-    return lines.numbered(documents(spark, sf_dir).select("doc_id", "content"))
+    return lines.numbered(spread(documents(spark, sf_dir).select("doc_id", "content")))
 
 
 def values(spark, rows, schema) -> DataFrame:
@@ -98,7 +103,7 @@ def overlong_lines(spark, sf_dir):
 k AS (SELECT * FROM t WHERE strlen(trim) <= 4096)
 SELECT doc_id, line_no, trim, lag(trim) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev FROM k""")
 def prev_line(spark, sf_dir):
-    return lines.scanned(documents(spark, sf_dir).select("doc_id", "content"), "").select("doc_id", "line_no", F.col("trim"), "prev")
+    return lines.scanned(spread(documents(spark, sf_dir).select("doc_id", "content")), "").select("doc_id", "line_no", F.col("trim"), "prev")
 
 
 @query(f"""WITH {SQL_LINES}, t AS (SELECT doc_id, line_no, {SQL_TRIM} AS trim FROM l),
@@ -273,7 +278,7 @@ def match_counts(spark, sf_dir):
 
 # The one rule that finds something in documents, in SQL: token = "<hex>", one finding for each token of a line.
 _SQL_FOUND = f"""{SQL_LINES}, r AS (SELECT doc_id, line_no, raw, unnest(regexp_extract_all(raw, '(?i)(?:^|[^A-Za-z0-9_])token = "([0-9a-f]{{40}})"', 1)) AS token FROM l WHERE strlen(raw) <= 4096),
-u AS (SELECT DISTINCT d.source, r.* FROM r JOIN documents d ON r.doc_id = d.doc_id), v AS (SELECT 'src/' || source || '/' || doc_id || '.txt' AS file_path, line_no, token, raw FROM u)"""
+u AS (SELECT DISTINCT d.source, r.* FROM r JOIN documents d ON r.doc_id = d.doc_id), v AS (SELECT 'src/' || coalesce(source, 'none') || '/' || coalesce(doc_id::VARCHAR, 'none') || '.txt' AS file_path, line_no, token, raw FROM u)"""
 
 
 def document_findings(spark, sf_dir):
@@ -326,7 +331,7 @@ def json_rows(spark, sf_dir):
 @query(f"""WITH {SQL_LINES}, n AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id), {_SQL_FOUND.replace(SQL_LINES + ',', '').strip()},
 c AS (SELECT file_path, count(*) AS n_findings, round(max({_SHANNON.format('token')}), 6) AS max_entropy FROM v GROUP BY file_path)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_findings, 0) AS n_findings, max_entropy, CASE WHEN n_findings > 0 THEN 'MEDIUM' END AS worst_severity
-FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON c.file_path = 'src/' || d.source || '/' || d.doc_id || '.txt'""")
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON c.file_path = 'src/' || coalesce(d.source, 'none') || '/' || coalesce(d.doc_id::VARCHAR, 'none') || '.txt'""")
 def ledger(spark, sf_dir):
     return scan_ledger(spark, sf_dir).withColumn("max_entropy", F.round("max_entropy", 6))
 
@@ -414,7 +419,7 @@ def _stream(spark, sf_dir):
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
     out = f"{folder}/stream-{uuid.uuid4().hex}"
     rows = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/documents.parque[t]")
-    rows = rows.select(F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), F.coalesce("text", F.lit("")).alias("content"))
+    rows = rows.select(document_path().alias("file_path"), F.coalesce("text", F.lit("")).alias("content"))
     run = rows.writeStream.trigger(availableNow=True).foreachBatch(each_batch(Config(), lambda found, n: found.write.mode("append").parquet(out))).start()
     run.awaitTermination()
     return spark.read.parquet(out).drop("batch")

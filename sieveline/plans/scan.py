@@ -9,7 +9,7 @@ from sieveline.config import Config
 from sieveline.functions import entropy as E
 from sieveline.functions import paths
 from sieveline.functions import strings as S
-from sieveline.functions.plan import fixed
+from sieveline.functions.plan import fixed, spread
 from sieveline.operators import context, lines, match, plausible, resolve
 
 # Words left of an assignment that raise or lower the threshold to 4, and words that a line with a harmless random
@@ -45,7 +45,12 @@ def skipped(files: DataFrame, config: Config = Config(), path: str = "file_path"
 def lines_of(files: DataFrame, config: Config) -> DataFrame:
     """Scanned lines with what all passes need: the target, whether it is assigned, its compact form."""
     rows = lines.scanned(files.select("file_path", "content").withColumns({c: x for c, x in zip(("is_source", "is_netrc", "no_entropy", "is_test"), lines.file_flags(F.col("file_path")), strict=True)}), config.marker)
-    rows = fixed(rows, {"v_": S.secret_value(F.col("trim"), F.col("is_source"))})
+    # a line without quotes and signs of assignment is its own target, which spares most lines the search for one
+    plain = F.lit(True)
+    for c in "\"'`=:":
+        plain = plain & ~F.contains("trim", F.lit(c))
+    none = F.struct(F.lit(None).cast("string").alias("value"), F.lit(False).alias("assigned"))
+    rows = fixed(rows, {"v_": F.when(plain, none).otherwise(S.secret_value(F.col("trim"), F.col("is_source")))})
     rows = fixed(rows, {"target": F.coalesce(S.strip(F.col("v_.value")), F.col("trim")), "assigned": F.col("v_.assigned")}).drop("v_")
     return fixed(rows, {"compact": S.compact(F.col("target"))})
 
@@ -91,20 +96,22 @@ def _allowed(found: DataFrame, config: Config) -> DataFrame:
 
 
 def searched(rows: DataFrame, config: Config) -> DataFrame:
-    """A row for each text of a line that holds a prefix, with which and text: the line itself, or if it holds none its compact
+    """A row for each text of a line that holds a prefix which may stand alone, with which and text: the line itself, or if it holds none its compact
     form, where that differs; and what the compact form decodes to."""
     sigs = config.all_signatures()
-    rows = fixed(rows, {"low": F.lower("trim"), "decoded": S.decoded(F.col("compact"))})
-    rows = fixed(rows, {"low_compact": F.lower("compact"), "low_decoded": F.coalesce(F.lower("decoded"), F.lit("")), "held": match.any_prefix(F.col("low"), sigs)})
+    rows = fixed(rows, {"low": F.lower("trim")})
+    rows = fixed(rows, {"held": match.any_prefix(F.col("low"), sigs), "decoded": S.decoded(F.col("compact"))}).drop("low")
     differs = (F.length("compact") > 0) & (F.length("compact") < F.length("target"))
+    # lower-cased only where they are looked at
+    rows = fixed(rows, {"low_compact": F.when(~F.col("held") & differs, F.lower("compact")).otherwise(""), "low_decoded": F.coalesce(F.lower("decoded"), F.lit(""))})
     one = lambda which, text, holds: F.when(holds, F.struct(F.lit(which).alias("which"), F.col(text).alias("text")))
     texts = F.array(
-        one(resolve.LINE, "trim", F.col("held")),
-        one(resolve.COMPACT, "compact", ~F.col("held") & differs & match.any_prefix(F.col("low_compact"), sigs)),
-        one(resolve.DECODED, "decoded", match.any_prefix(F.col("low_decoded"), sigs)),
+        one(resolve.LINE, "trim", F.col("held") & (match.may_stand_alone(F.col("trim"), sigs) | match.any_joined_prefix(F.col("trim"), sigs))),
+        one(resolve.COMPACT, "compact", match.any_prefix(F.col("low_compact"), sigs) & match.may_stand_alone(F.col("compact"), sigs)),
+        one(resolve.DECODED, "decoded", match.any_prefix(F.col("low_decoded"), sigs) & match.may_stand_alone(F.col("decoded"), sigs)),
     )
     rows = rows.select("*", F.explode_outer(texts).alias("x")).where("x is not null")
-    return rows.select("*", "x.*").drop("x", "low", "low_compact", "low_decoded", "held", "decoded")
+    return rows.select("*", "x.*").drop("x", "low_compact", "low_decoded", "held", "decoded")
 
 
 def pattern_pass(rows: DataFrame, config: Config) -> DataFrame:
@@ -191,6 +198,7 @@ def scan(files: DataFrame, config: Config = Config(), pruned: bool = False) -> D
     fold and once by file for blobs.
     """
     files = files if pruned else prune(files, config)
+    files = files if files.isStreaming else spread(files)
     every = lines_of(files, config)
     extra = phrases(every, config) if config.phrase_words else None
 
@@ -203,7 +211,7 @@ def scan(files: DataFrame, config: Config = Config(), pruned: bool = False) -> D
         passes.append(pattern_pass(rows, config))
     if config.entropy:
         # few files have lines of logs; for the others, and for files without an entropy pass, no lines are made here
-        logs = rest(lines_of(files.where(F.lower("content").rlike(lines.LOG_WORDS)), config))
+        logs = rest(lines_of(files.where(lines.may_log(F.col("content"))), config))
         passes += [random_pass(rows, config), log_pass(logs, config)]
     if not passes:
         return _shape(extra if extra is not None else phrases(rows.where(F.lit(False)), config))
