@@ -26,7 +26,7 @@ def findings_of(spark: SparkSession, args, config: C.Config) -> tuple[DataFrame,
         kept = plan.prune(files, config, path="path").select("file_path", "path", "content")
         out = files.select("file_path").limit(0).selectExpr("file_path", "'' AS reason")
     else:
-        every = read_files(spark, os.pathsep.join(args.paths), "staged" if args.command == "staged" else "folder", recursive=str(args.recursive))
+        every = read_files(spark, os.pathsep.join(args.paths), "staged" if args.command == "staged" else "folder", recursive=str(args.recursive), max_file_size_bytes=str(config.max_file_size_bytes))
         if args.command == "scan" and len(args.paths) == 1 and os.path.isdir(args.paths[0]):
             every = every.withColumn("file_path", paths.relative(F.col("file_path"), F.lit(args.paths[0])))  # what is above the folder says nothing of a file
         kept = plan.prune(every.where("content is not null"), config)

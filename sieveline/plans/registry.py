@@ -416,10 +416,16 @@ def _stream(spark, sf_dir):
     from sieveline.streaming.scan import each_batch
 
     source = table(spark, sf_dir, "documents")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="stream-")
     out = f"{folder}/stream-{uuid.uuid4().hex}"
     rows = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/documents.parque[t]")
     rows = rows.select(document_path().alias("file_path"), F.coalesce("text", F.lit("")).alias("content"))
-    run = rows.writeStream.trigger(availableNow=True).foreachBatch(each_batch(Config(), lambda found, n: found.write.mode("append").parquet(out))).start()
+    # a batch that is tried again replaces its own folder
+    sink = lambda found, n: found.drop("batch").write.mode("overwrite").parquet(f"{out}/batch={n}")
+    run = rows.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}-state").foreachBatch(each_batch(Config(), sink)).start()
     run.awaitTermination()
     return spark.read.parquet(out).drop("batch")

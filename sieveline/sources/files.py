@@ -64,7 +64,7 @@ class Reader(DataSourceReader):
 
     def partitions(self):
         if self.kind == "staged":
-            found = staged_names(git(self.root, "diff", "--cached", "--name-status", "--diff-filter=ACRM").decode())
+            found = staged_names(git(self.root, "diff", "--cached", "--name-status", "-z", "--diff-filter=ACRM").decode("utf-8", "surrogateescape"))
         elif self.kind == "history":
             found = [(c, "") for c in git(self.root, "rev-list", "--all").decode().split()]
         else:
@@ -74,13 +74,14 @@ class Reader(DataSourceReader):
     def read(self, partition):
         for name, status in partition.names:
             if self.kind == "staged":
-                if status == "A":
-                    data = git(self.root, "show", f":{name}")
+                try:
+                    data = git(self.root, "show", f":{name}") if status == "A" else added_lines(git(self.root, "diff", "--cached", "--unified=0", "--", name))
+                except subprocess.CalledProcessError as e:
+                    yield name, status, 0, None, f"unreadable: git ended with {e.returncode}"
                 else:
-                    data = added_lines(git(self.root, "diff", "--cached", "--unified=0", "--", name))
-                yield row(name, status, data, self.cap)
+                    yield row(name, status, data, self.cap)
             elif self.kind == "history":
-                log = git(self.root, "show", "--format=commit %H", "--patch", "--no-renames", name)
+                log = git(self.root, "show", "--format=commit %H", "--patch", "--no-renames", "--diff-merges=off", name)
                 yield name[:7], "", len(log), text_of(log), None
             else:
                 try:
@@ -91,9 +92,14 @@ class Reader(DataSourceReader):
 
 
 def staged_names(listing: str) -> list[tuple[str, str]]:
-    """(path, status) of tab-separated lines; of a rename the new path."""
-    each = (line.split("\t") for line in listing.splitlines() if line.strip())
-    return [(x[-1], x[0]) for x in each if len(x) > 1]
+    """(path, status) of a listing whose parts end with a NUL; of a rename or copy the new path. Names of any characters stand as they are."""
+    parts = iter(listing.split("\0"))
+    out = []
+    for status in parts:
+        if status:
+            names = [next(parts, "") for _ in range(2 if status[0] in "RC" else 1)]
+            out.append((names[-1], status))
+    return [x for x in out if x[0]]
 
 
 def added_lines(diff: bytes) -> bytes:

@@ -44,6 +44,31 @@ def test_repository(spark, folder):
     assert [(c.path, c.content) for c in chunks] == [(".env", f"AWS={KEY}\n")]
 
 
+def test_staged_names_of_any_characters_and_history_of_merges(spark, folder):
+    run = lambda *a: subprocess.run(["git", "-C", str(folder), "-c", "user.name=x", "-c", "user.email=x@x", *a], check=True, capture_output=True)
+    run("init", "-q", "-b", "main")
+    run("add", ".env")
+    run("commit", "-qm", "one")
+    run("checkout", "-qb", "side")
+    (folder / "side.txt").write_text("side\n")
+    run("add", "side.txt")
+    run("commit", "-qm", "two")
+    run("checkout", "-q", "main")
+    (folder / "main.txt").write_text("main\n")
+    run("add", "main.txt")
+    run("commit", "-qm", "three")
+    run("merge", "-q", "--no-commit", "side")
+    (folder / "side.txt").write_text("side\nboth\n")
+    run("add", "side.txt")
+    run("commit", "-qm", "four")
+    chunks = git.chunks(git.log_lines(read_files(spark, str(folder), "history")), 1 << 20).collect()
+    assert sorted(c.content for c in chunks) == sorted([f"AWS={KEY}\n", "side\n", "main\n"])
+    for name in ("café.txt", 'quo"te.txt', "a b.txt"):
+        (folder / name).write_text("new\n")
+        run("add", name)
+    assert {r.file_path: r.content for r in read_files(spark, str(folder), "staged").collect()} == dict.fromkeys(("café.txt", 'quo"te.txt', "a b.txt"), "new\n")
+
+
 def test_command_line(spark, folder, capsys):
     out = folder / "report.json"
     assert cli.main(["scan", str(folder), "--format", "json", "--output", str(out)]) == 1
