@@ -208,6 +208,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     x, y = F.col(a), F.col(b)
     pairs = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
     pairs = store(pairs.distinct())
+    if pairs.isEmpty():
+        return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     state = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
