@@ -166,7 +166,7 @@ def lines_removed(rows):
     for d, t in sorted(rows):
         for k, line in enumerate(t.split("\n")):
             s = set(WORD.findall(line))
-            if len(s) >= linededup.LEAST_WORDS:
+            if len(s) >= 1:
                 if any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
                     gone.setdefault(d, set()).add(k)
                 seen.append(s)
