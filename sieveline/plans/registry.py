@@ -429,3 +429,6 @@ def _stream(spark, sf_dir):
     run = rows.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}-state").foreachBatch(each_batch(Config(), sink)).start()
     run.awaitTermination()
     return spark.read.parquet(out).drop("batch")
+
+
+from sieveline.plans import cases  # noqa: E402, F401  registers its queries here
