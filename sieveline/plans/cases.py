@@ -12,6 +12,7 @@ from sieveline.functions import entropy as E
 from sieveline.functions import paths
 from sieveline.functions import strings as S
 from sieveline.operators import lines, plausible, resolve
+from sieveline.plans import scan as plan
 from sieveline.plans.registry import _PATHS, _SHANNON, SQL_LINES, _any, all_paths, document_lines, documents, in_sql, pages, query, table, values
 
 #: Tokens of shapes that pages lack.
@@ -205,3 +206,47 @@ def overlaps_dropped(spark, sf_dir):
     more = {"pass": F.lit(resolve.RANDOM), "entropy": F.lit(0.0), "tier": F.lit("ENTROPY"), "signature_id": F.lit("high-entropy-hex"), "severity": F.lit("LOW"), "description": F.lit(""), "line_content": F.lit("")}
     rows = table(spark, sf_dir, "events").select(F.floor(e / 2).alias("line_no"), (e % 2).cast("int").alias("seq"), token.alias("token"))
     return resolve.per_line(rows.withColumns(more), ["line_no"]).select("line_no", "token")
+
+
+#: Lines that a random token stands in, for what speaks against it there.
+_AROUND = [
+    "key = ~", "x @~", "a @b ~", "image: sha256:~", "commit ~", "Client_ID=~", "Verify sha256sum ~", 'hex.DecodeString("~")', '"$ref": "~"', '"digest": "~"', "/sys/class/~", "my_token := '~'", "auth: ~",
+]
+_HELD = "[A-Za-z0-9+/=_.-]{12,}"
+_SQL_HELD = f"t AS (SELECT DISTINCT unnest(regexp_extract_all(html, '{_HELD}')) AS token FROM pages UNION SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9a-f]{{12,}}')) FROM documents UNION SELECT {_MORE})"
+
+
+def _one_of(x: str, words) -> str:
+    return "(" + " OR ".join(f"contains({x}, {in_sql(w)})" for w in words) + ")"
+
+
+_HARMLESS = f"""mention: strpos(line, token) > 1 AND line[strpos(line, token) - 1] = '@'
+image_digest: hex AND contains(line, 'sha256:')
+named_hash: hex AND length(token) IN (40, 64) AND {_one_of('lower(line)', plan.HASH_WORDS)}
+client_id: hex AND {_one_of('lower(line)', plan.CLIENT_WORDS)}
+checksum: hex AND {_one_of('lower(line)', plan.CHECK_WORDS)}
+decoded_constant: hex AND {_one_of('line', plan.DECODERS)}
+dotted: NOT hex AND contains(token, '.')
+camel_case: NOT hex AND regexp_full_match(token, '[A-Za-z._]*') AND regexp_matches(token, '[A-Z]') AND regexp_matches(token, '[a-z][a-z][a-z][a-z]')
+decimal: hex AND NOT regexp_matches(token, '[^0-9]')
+kernel_path: starts_with(compact, '/sys/')
+api_schema: {_one_of('line', plan.API_FIELDS)}
+digest_field: hex AND {_one_of('lower(line)', plan.DIGEST_FIELDS)}"""
+
+
+@query(
+    f"WITH {_SQL_HELD}, s AS (SELECT unnest([{', '.join(map(in_sql, _AROUND))}]) AS shape), l AS (SELECT token, shape, replace(shape, '~', token) AS line, regexp_full_match(token, '[0-9a-fA-F]+') AS hex FROM t, s),"
+    " c AS (SELECT *, CASE WHEN strlen(line) BETWEEN 16 AND 400 THEN translate(line, ' +.\"`' || chr(39), '') ELSE '' END AS compact,"
+    " CASE WHEN contains(line, ':=') THEN split_part(line, ':=', 1) WHEN contains(line, '=') THEN split_part(line, '=', 1) WHEN contains(line, ':') THEN split_part(line, ':', 1) ELSE '' END AS lhs FROM l)"
+    " SELECT token, shape, concat_ws(',', " + ", ".join(f"CASE WHEN {x.split(': ', 1)[1]} THEN {in_sql(x.split(': ')[0])} END" for x in _HARMLESS.split("\n")) + ") AS reasons,"
+    f" CASE WHEN {_one_of('lower(lhs)', plan.CREDENTIALS)} THEN {plan.NAMED}::DOUBLE ELSE 5.0::DOUBLE END AS threshold FROM c"
+)
+def harmless_reasons(spark, sf_dir):
+    """What speaks against random tokens in lines of fixed shapes, and the entropy that they must have there if assigned."""
+    found = lambda name, column, p: table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all(column, F.lit(p), F.lit(0))).alias("token"))
+    some = found("pages", "html", _HELD).unionByName(found("documents", "text", "[0-9a-f]{12,}")).unionByName(values(spark, [(x,) for x in [*TOKENS, "x" * 401]], "token string")).distinct()
+    made = some.select("token", F.explode(F.array(*map(F.lit, _AROUND))).alias("shape")).withColumn("line", F.replace("shape", F.lit("~"), F.col("token")))
+    kind = F.when(E.is_hex_like(F.col("token")), "hex").otherwise("base64")
+    every = plan.harmless(F.col("line"), F.col("token"), kind, S.compact(F.col("line")))
+    reasons = F.concat_ws(",", *[F.when(holds, F.lit(name)) for name, holds in every.items()]).alias("reasons")
+    return made.select("token", "shape", reasons, plan.threshold(F.col("line"), F.lit(True), 5.0).alias("threshold"))
