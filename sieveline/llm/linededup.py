@@ -72,20 +72,22 @@ def later_copies(each: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_keys(each: DataFrame, late: DataFrame, copied: DataFrame) -> DataFrame:
-    """One row for each class of LEAST_JOINED words or more: the place of its first line, n, parity0 and parity6 (64 bits each,
-    1 if an odd number of words falls on it) and keys."""
+    """One row for each class of LEAST_JOINED words or more: the place of its first line, n, copies (its lines), parity0 and parity6
+    (64 bits each, 1 if an odd number of words falls on it) and keys."""
     counts = rarity(each)
     may, cannot = may_and_cannot(each.where(F.col("n") >= LEAST_JOINED), copied, ["k1", "k2"])
     some = [*PLACE, "n", "tokens"]
     # rows that are equal in doc_id and text have their lines in one place
-    one = may.select(some).join(late, PLACE, "left_anti").dropDuplicates(PLACE).unionByName(cannot.select(some))
+    firsts = copied.select("first.*", "copies")
+    one = may.select(some).join(late, PLACE, "left_anti").dropDuplicates(PLACE).join(firsts, PLACE, "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    one = one.unionByName(cannot.select(*some, F.lit(1).cast("long").alias("copies")))
     level = lambda x: F.get(counts, x.bitwiseAND(F.lit(COUNTERS - 1))).cast("long")
-    one = one.select(*PLACE, "n", F.sort_array(F.transform("tokens", lambda x: F.shiftleft(level(x), 32) + x)).alias("order"))
+    one = one.select(*PLACE, "n", "copies", F.sort_array(F.transform("tokens", lambda x: F.shiftleft(level(x), 32) + x)).alias("order"))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
     odd = lambda shift: F.aggregate("order", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(F.shiftright(x, shift)))).alias(f"parity{shift}")
     pairs = F.expr(PAIRS)
     keys = F.zip_with(F.slice("order", F.lit(1), pairs), F.slice("order", F.lit(2), pairs), lambda x, y: F.xxhash64(x, y))
-    return one.select(*PLACE, "n", odd(0), odd(6), keys.alias("keys"))
+    return one.select(*PLACE, "n", "copies", odd(0), odd(6), keys.alias("keys"))
 
 
 def fits(a: str, b: str) -> str:
@@ -108,28 +110,34 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return out
 
 
-def similar(rows: DataFrame, keyed: DataFrame, copied: DataFrame) -> DataFrame:
+def similar(rows: DataFrame, keyed: DataFrame) -> DataFrame:
     """keyed: what with_keys gives, discarded here. The places of the classes that are similar to an earlier one.
 
     One earlier match decides, and in a large group of alike lines most match the line that has most copies or one of those just
     before them. So each line is first held against the two lines before it, the earliest and the most copied of each of its keys. Only lines that
     these don't decide are held against all earlier lines of a key, so that the pairs grow with the lines and not with the square of a group's size.
+    Neighbours, earliest and most copied are those of a cell, which takes one shuffle for nearly all keys; only keys of several cells also look for
+    the earliest and most copied of all their cells.
     """
     shared = store(keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    every = keyed.select(*PLACE, "n", "parity0", "parity6", "keys", F.posexplode("keys").alias("pos", "key")).withColumn("before", F.get("keys", F.col("pos") - 1)).drop("keys")
+    every = keyed.select(*PLACE, "n", "copies", "parity0", "parity6", "keys", F.posexplode("keys").alias("pos", "key")).withColumn("before", F.get("keys", F.col("pos") - 1)).drop("keys")
     every = only(every, shared, ["key"]).join(shared, "key")
     # a key of very many lines is dealt out in cells
     cells = F.ceil(F.col("size") / CELL).cast("int")
-    every = store(every.select("key", cells.alias("cells"), F.pmod(F.xxhash64(*PLACE), cells).cast("int").alias("cell"), "size", F.struct(F.struct(*PLACE).alias("place"), "n", "pos", "before", "parity0", "parity6").alias("x")))
+    every = store(every.select("key", cells.alias("cells"), F.pmod(F.xxhash64(*PLACE), cells).cast("int").alias("cell"), "size", "copies", F.struct(F.struct(*PLACE).alias("place"), "n", "pos", "before", "parity0", "parity6").alias("x")))
     discard(keyed, shared)
-    near = W.partitionBy("key", "cell").orderBy("x.place")
-    beside = every.select("key", "x", F.lag("x", 1).over(near).alias("one"), F.lag("x", 2).over(near).alias("two"))
-    beside = beside.select("x", F.explode(F.array("one", "two")).alias("y")).where("y is not null")
+    cell = W.partitionBy("key", "cell")
+    near = cell.orderBy("x.place")
+    whole = near.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    most, least = F.max_by("x", F.struct("copies", "x.place")).over(whole), F.first("x").over(whole)
+    beside = every.select("x", "size", F.lag("x", 1).over(near).alias("one"), F.lag("x", 2).over(near).alias("two"), most.alias("most"), least.alias("least"))
     # of three lines or fewer each is so held against all before it
+    more = F.when(F.col("size") > 3, F.array("most", "least")).otherwise(F.slice(F.array("most", "least"), 1, 0))
+    beside = beside.select("x", F.explode(F.concat(F.array("one", "two"), more)).alias("y")).where("y is not null")
     rest = every.where("size > 3")
-    copies = rest.join(copied.select(F.col("first").alias("place"), "copies"), F.col("x.place") == F.col("place"), "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    middle = copies.groupBy("key").agg(F.max_by("x", F.struct("copies", "x.place")).alias("most"), F.min_by("x", "x.place").alias("least"))
-    beside = beside.unionByName(rest.join(middle, "key").select("x", F.explode(F.array("most", "least")).alias("y")))
+    large = rest.where("cells > 1")
+    middle = large.groupBy("key").agg(F.max_by("x", F.struct("copies", "x.place")).alias("most"), F.min_by("x", "x.place").alias("least"))
+    beside = beside.unionByName(large.join(middle, "key").select("x", F.explode(F.array("most", "least")).alias("y")))
     # two lines that share the key before have been found there
     found = lambda df: df.where(F.expr(f"y.place < x.place AND coalesce(x.before != y.before, true) AND {fits('x', 'y')}")).select(F.col("x.place").alias("x"), F.col("y.place").alias("y")).distinct()
     pairs = store(found(beside.withColumn("x", F.col("x").withField("before", F.lit(None).cast("long")))))
@@ -163,7 +171,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     late, copied = later_copies(each)
     keyed = store(with_keys(each, late, copied))
     discard(each)
-    gone = late.unionByName(similar(rows, keyed, copied))
+    gone = late.unionByName(similar(rows, keyed))
     removed = store(gone.groupBy("id", "h").agg(F.collect_set("line_no").alias("removed")))
     # texts that lose nothing are not shuffled
     whole = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), h.alias("h"))
