@@ -86,14 +86,23 @@ def _shared_folder(spark: SparkSession) -> str:
 _MADE: list[tuple[SparkSession, str]] = []
 
 
+#: Spark removes a step's shuffle files when the step ends, and not when its driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame) -> DataFrame:
     """Runs df once and keeps its rows as compressed Parquet in the shared folder, so that later steps neither repeat the work
     nor depend on one executor's disk. The table is removed by `discard`, at the end of a `scope`, or when the driver ends."""
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
     _MADE.append((spark, path))
-    # most of what is stored is hashes, of which dictionaries hold nothing twice
-    df.write.options(**{"compression": "zstd", "parquet.enable.dictionary": "false"}).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        # most of what is stored is hashes, of which dictionaries hold nothing twice
+        df.write.options(**{"compression": "zstd", "parquet.enable.dictionary": "false"}).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _release(spark)
     out = spark.read.parquet(path)
     out.stored_at = path
@@ -105,8 +114,8 @@ settle = store
 
 
 def _release(spark: SparkSession) -> None:
-    """Spark drops the shuffle files of a finished step when the driver's collector finds that nothing refers to them, which
-    may take until long after the disks are full. So the collector is asked to look."""
+    """Spark drops broadcasts of a finished step, and shuffle files of counts, when the driver's collector finds that nothing
+    refers to them, which may take long. So the collector is asked to look."""
     gc.collect()
     spark._jvm.System.gc()
 
