@@ -7,7 +7,7 @@ prefix of that order. If two sets reach the threshold, one lacks few words of th
 or added parts two pairs of neighbours at most. So the first pair that they share lies in both prefixes (`PAIRS`). Single rare words
 of a large vocabulary would be shared by ever more lines as the corpus grows; pairs of neighbours seldom are, except by similar lines.
 
-Classes that share a key pass a length filter, a positional filter and two 64-bit parity maps of their words, and are verified
+Classes that share a key pass a length filter, a positional filter and a 64-bit parity map of their words, and are verified
 on the words. A line is removed if an earlier line matches it; all filters are exact, so no match is missed.
 """
 
@@ -72,30 +72,34 @@ def later_copies(each: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_keys(each: DataFrame, late: DataFrame, copied: DataFrame) -> DataFrame:
-    """One row for each class of LEAST_JOINED words or more: the place of its first line, n, copies (its lines), parity0 and parity6
-    (64 bits each, 1 if an odd number of words falls on it) and keys."""
+    """One row for each class of LEAST_JOINED words or more: the place of its first line, n, copies (its lines), parity
+    (64 bits, 1 if an odd number of words falls on it) and keys. Stored."""
     counts = rarity(each)
-    may, cannot = may_and_cannot(each.where(F.col("n") >= LEAST_JOINED), copied, ["k1", "k2"])
-    some = [*PLACE, "n", "tokens"]
-    # rows that are equal in doc_id and text have their lines in one place
+    asked = each.where(F.col("n") >= LEAST_JOINED).select(*PLACE, "n", "tokens")
+    # later copies go by their places alone, so that their tokens are not shuffled; missed are those that only seem to be ones
+    may, on_time = may_and_cannot(asked, late, PLACE)
+    missed = store(may.select(*PLACE).join(late, PLACE, "left_anti").distinct())
     firsts = copied.select("first.*", "copies")
-    one = may.select(some).join(late, PLACE, "left_anti").dropDuplicates(PLACE).join(firsts, PLACE, "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    one = one.unionByName(cannot.select(*some, F.lit(1).cast("long").alias("copies")))
+    some, single = may_and_cannot(on_time, firsts, PLACE)
+    # rows that are equal in doc_id and text have their lines in one place
+    one = some.unionByName(only(may, missed, PLACE).join(missed, PLACE, "left_semi")).dropDuplicates(PLACE)
+    one = one.join(firsts, PLACE, "left").withColumn("copies", F.coalesce("copies", F.lit(1))).unionByName(single.withColumn("copies", F.lit(1).cast("long")))
     level = lambda x: F.get(counts, x.bitwiseAND(F.lit(COUNTERS - 1))).cast("long")
     one = one.select(*PLACE, "n", "copies", F.sort_array(F.transform("tokens", lambda x: F.shiftleft(level(x), 32) + x)).alias("order"))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    odd = lambda shift: F.aggregate("order", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(F.shiftright(x, shift)))).alias(f"parity{shift}")
+    parity = F.aggregate("order", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
     pairs = F.expr(PAIRS)
     keys = F.zip_with(F.slice("order", F.lit(1), pairs), F.slice("order", F.lit(2), pairs), lambda x, y: F.xxhash64(x, y))
-    return one.select(*PLACE, "n", "copies", odd(0), odd(6), keys.alias("keys"))
+    out = store(one.select(*PLACE, "n", "copies", parity.alias("parity"), keys.alias("keys")))
+    discard(missed)
+    return out
 
 
 def fits(a: str, b: str) -> str:
     """The filters of two rows with the same key, in SQL: length, words left beside the pair that they can share, parity."""
     share = OVERLAP.format(a=f"{a}.n", b=f"{b}.n")
     left = f"least({a}.pos, {b}.pos) + least({a}.n - {a}.pos, {b}.n - {b}.pos)"
-    odd = lambda which: f"bit_count({a}.{which} ^ {b}.{which})"
-    return f"5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) AND {left} >= {share} AND greatest({odd('parity0')}, {odd('parity6')}) <= {a}.n + {b}.n - 2 * ({share})"
+    return f"5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) AND {left} >= {share} AND bit_count({a}.parity ^ {b}.parity) <= {a}.n + {b}.n - 2 * ({share})"
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -120,11 +124,11 @@ def similar(rows: DataFrame, keyed: DataFrame) -> DataFrame:
     the earliest and most copied of all their cells.
     """
     shared = store(keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    every = keyed.select(*PLACE, "n", "copies", "parity0", "parity6", "keys", F.posexplode("keys").alias("pos", "key")).withColumn("before", F.get("keys", F.col("pos") - 1)).drop("keys")
+    every = keyed.select(*PLACE, "n", "copies", "parity", "keys", F.posexplode("keys").alias("pos", "key")).withColumn("before", F.get("keys", F.col("pos") - 1)).drop("keys")
     every = only(every, shared, ["key"]).join(shared, "key")
     # a key of very many lines is dealt out in cells
     cells = F.ceil(F.col("size") / CELL).cast("int")
-    every = store(every.select("key", cells.alias("cells"), F.pmod(F.xxhash64(*PLACE), cells).cast("int").alias("cell"), "size", "copies", F.struct(F.struct(*PLACE).alias("place"), "n", "pos", "before", "parity0", "parity6").alias("x")))
+    every = store(every.select("key", cells.alias("cells"), F.pmod(F.xxhash64(*PLACE), cells).cast("int").alias("cell"), "size", "copies", F.struct(F.struct(*PLACE).alias("place"), "n", "pos", "before", "parity").alias("x")))
     discard(keyed, shared)
     cell = W.partitionBy("key", "cell")
     near = cell.orderBy("x.place")
@@ -169,7 +173,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = base.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), h.alias("h"), F.col("text"))
     each = store(lines(rows))
     late, copied = later_copies(each)
-    keyed = store(with_keys(each, late, copied))
+    keyed = with_keys(each, late, copied)
     discard(each)
     gone = late.unionByName(similar(rows, keyed))
     removed = store(gone.groupBy("id", "h").agg(F.collect_set("line_no").alias("removed")))
