@@ -13,10 +13,9 @@ on the words. A line is removed if an earlier line matches it; all filters are e
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,15 +51,15 @@ def lines(rows: DataFrame) -> DataFrame:
     return each.select(*PLACE, F.size("hashes").alias("n"), F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"), F.transform("hashes", lambda x: F.hash(x)).alias("tokens"))
 
 
-def rarity(each: DataFrame) -> Column:
-    """COUNTERS levels, as an array literal: of the count of the tokens x with x & (COUNTERS - 1) there six levels a
+def rarity(each: DataFrame) -> DataFrame:
+    """One row with levels, an array of COUNTERS: of the count of the tokens x with x & (COUNTERS - 1) there six levels a
     doubling, 0 for a single one. Its size is fixed."""
     level = F.least(F.lit(126), F.floor(6 * F.log2("c")).cast("int"))
     at = F.col("x").bitwiseAND(F.lit(COUNTERS - 1)).alias("at")
     got = each.select(F.explode("tokens").alias("x")).groupBy(at).agg(F.count(F.lit(1)).alias("c")).select("at", level.alias("level")).toArrow()
-    table = np.zeros(COUNTERS, np.int64)
+    table = np.zeros(COUNTERS, np.int8)
     table[got.column("at").to_numpy()] = got.column("level").to_numpy()
-    return F.from_json(F.lit(json.dumps(table.tolist(), separators=(",", ":"))), "array<tinyint>")
+    return each.sparkSession.createDataFrame(pa.table({"levels": pa.array([table], pa.list_(pa.int8()))}))
 
 
 def later_copies(each: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +83,9 @@ def with_keys(each: DataFrame, late: DataFrame, copied: DataFrame) -> DataFrame:
     # rows that are equal in doc_id and text have their lines in one place
     one = some.unionByName(only(may, missed, PLACE).join(missed, PLACE, "left_semi")).dropDuplicates(PLACE)
     one = one.join(firsts, PLACE, "left").withColumn("copies", F.coalesce("copies", F.lit(1))).unionByName(single.withColumn("copies", F.lit(1).cast("long")))
-    level = lambda x: F.get(counts, x.bitwiseAND(F.lit(COUNTERS - 1))).cast("long")
+    level = lambda x: F.get("levels", x.bitwiseAND(F.lit(COUNTERS - 1))).cast("long")
+    # by a subquery, since the driver writes a literal of this size out with every change of the plan, some megabytes each time
+    one = one.withColumn("levels", counts.scalar())
     one = one.select(*PLACE, "n", "copies", F.sort_array(F.transform("tokens", lambda x: F.shiftleft(level(x), 32) + x)).alias("order"))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
     parity = F.aggregate("order", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))

@@ -268,6 +268,16 @@ def test_secrets(spark):
     assert secret_scan.find_secrets(table(spark)).count() == len(odd_rows()) and secret_scan.find_secrets(table(spark, [])).count() == 0
 
 
+def test_plans_of_lines_are_small(spark, monkeypatch):
+    sizes, store = [], linededup.store
+    monkeypatch.setattr(linededup, "store", lambda df: sizes.append(len(df._jdf.queryExecution().toString())) or store(df))
+    text = "one two three four five six"
+    got = linededup.dedup_lines(table(spark, [(1, text), (2, f"{text}\nseven eight nine ten"), (3, "seven eight nine ten eleven")])).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 1, 3: 1}
+    # the driver keeps the text of each plan, so no table belongs in it
+    assert max(sizes) < 200_000
+
+
 # 7
 
 
