@@ -33,6 +33,7 @@ RULES = {
     "login": r"[a-z]{3,10}://[A-Za-z0-9._-]{1,80}:[A-Za-z0-9._-]{1,80}@",
 }
 KINDS = tuple(RULES)
+SECRETS = "array<struct<start:int,ord:int,end:int,kind:string>>"
 #: Exact strings that a part of an expression may stand for before they are no longer listed.
 MOST = 64
 
@@ -162,13 +163,15 @@ def find_secrets(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("h"), text.alias("text"))
-    # texts that are no rule's candidates are not shuffled
+    # texts that are no rule's candidates are neither shuffled nor searched, but with the rules that any text may match
     asked = store(candidates(rows, rules))
     may, cannot = may_and_cannot(rows, asked, ["id", "h"])
-    held = may.join(asked, ["id", "h"], "left").unionByName(cannot.withColumn("rules", F.array().cast("array<string>")))
     everywhere = [r for r, p in rules.items() if not trigram_query(p)]
+    held = may.join(asked, ["id", "h"], "left")
     found = spans.find(held, "text", {r: (p, F.lit(True) if r in everywhere else F.array_contains("rules", r)) for r, p in rules.items()})
-    return found.select("doc_id", F.array_sort(F.concat(*[_spans(k, r) for k, r in enumerate(rules)])).alias("secrets"))
+    rest = spans.find(cannot, "text", {r: (rules[r], F.lit(True)) for r in everywhere})
+    of = lambda df, some: df.select("doc_id", F.array_sort(F.concat(F.array().cast(SECRETS), *[_spans(k, r) for k, r in enumerate(rules) if r in some])).alias("secrets"))
+    return of(found, rules).unionByName(of(rest, everywhere))
 
 
 def op6_secrets(spark, sf_dir):

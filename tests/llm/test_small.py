@@ -268,6 +268,19 @@ def test_secrets(spark):
     assert secret_scan.find_secrets(table(spark)).count() == len(odd_rows()) and secret_scan.find_secrets(table(spark, [])).count() == 0
 
 
+def test_only_candidates_are_searched(spark, monkeypatch):
+    asked, find = [], secret_scan.spans.find
+    monkeypatch.setattr(secret_scan.spans, "find", lambda df, text, patterns: asked.append((df.count(), [*patterns])) or find(df, text, patterns))
+    docs = table(spark, [(k, f"plain {k}") for k in range(200)] + [(200, "token=abcdef 123"), (201, None)])
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.secrets] for r in secret_scan.find_secrets(docs).collect()}
+    assert got == {k: [] for k in range(202)} | {200: [("assign", 0, 12)]}
+    # any text may match a rule without trigrams
+    assert asked == [(1, [*secret_scan.RULES]), (201, ["hex"])]
+    some = {r: secret_scan.RULES[r] for r in ("assign", "hex")} | {"digits": "[0-9]{3}"}
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.secrets] for r in secret_scan.find_secrets(docs, some).collect()}
+    assert got == {k: [("digits", 6, 9)] if 100 <= k < 200 else [] for k in range(202)} | {200: [("assign", 0, 12), ("digits", 13, 16)]}
+
+
 def test_plans_of_lines_are_small(spark, monkeypatch):
     sizes, store = [], linededup.store
     monkeypatch.setattr(linededup, "store", lambda df: sizes.append(len(df._jdf.queryExecution().toString())) or store(df))
