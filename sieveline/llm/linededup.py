@@ -2,10 +2,11 @@
 
 A line is the set of its words; lines with the same set are one class, told apart by 128-bit hashes and known by the place of
 its first line. The words of a class are ordered by rarity, by counts over all lines in a table of a fixed size
-(words that share a counter only make the order, and so the speed, worse). Its keys are the pairs of neighbours in the
-prefix of that order. If two sets reach the threshold, one lacks few words of the other, and each word that is lacking
-or added parts two pairs of neighbours at most. So the first pair that they share lies in both prefixes (`PAIRS`). Single rare words
-of a large vocabulary would be shared by ever more lines as the corpus grows; pairs of neighbours seldom are, except by similar lines.
+(words that share a counter only make the order, and so the speed, worse). Its keys are the runs of three neighbours in the
+prefix of that order. If two sets reach the threshold, one lacks few words of the other; each word that is lacking parts three runs
+at most, and each that is added two. So the first run that they share lies in both prefixes (`RUNS`). Single rare words, and pairs of them,
+are shared by ever more lines as the corpus grows; runs of three seldom are, except by similar lines. Sets of four and five words, which
+are similar if one holds the other, have too few runs and meet in pairs of neighbours (`PAIRS`).
 
 Classes that share a key pass a length filter, a positional filter and a 64-bit parity map of their words, and are verified
 on the words. A line is removed if an earlier line matches it; all filters are exact, so no match is missed.
@@ -27,12 +28,23 @@ COUNTERS = 1 << 18
 LEAST_JOINED = 4
 #: The threshold 4/5 in whole numbers: two sets of a and b words reach it if they share at least (4 * (a + b) + 8) div 9.
 OVERLAP = "(4 * ({a} + {b}) + 8) div 9"
-#: Keys of a set of n words. With p words of it lacking in a similar set of m, and q added, p + q <= (n + m) / 9 and p - q = n - m, so
-#: that 2 * p + q <= 2 * n / 3 - m / 3 <= 2 * n / 5 pairs are parted.
-PAIRS = "(2 * n) div 5 + 1"
+#: Runs of three that are keys of a set of n words. With p words of it lacking in a similar set of m, and q added, p + q <= (n + m) / 9 and
+#: p - q = n - m, so that 3 * p + 2 * q <= (7 * n - 2 * m) / 9 <= 3 * n / 5 runs are parted. A set of n > 5 words has more than that.
+RUNS = "(3 * n) div 5 + 1"
+#: Pairs that are keys of sets of up to PAIRED words, since 2 * p + q <= 2 * n / 3 - m / 3 <= 2 * n / 5 pairs are parted. Of sets of four words
+#: only those of five hold all; other sets of five meet theirs in runs.
+PAIRS, PAIRED = "(2 * n) div 5 + 1", 5
+#: Bits of a key: fewer make its tables smaller, and keys that agree by chance only bring pairs that the filters drop.
+KEY_BITS = 40
 PLACE = ["id", "h", "line_no"]
 #: Rows of a key that are compared in one task.
 CELL = 4096
+#: Lines before it with the same key that a line is held against first. With the earliest of a key, these are all of its earlier lines for the first
+#: ALL_HELD.
+BESIDE = 3
+ALL_HELD = BESIDE + 2
+#: Sets of more words have a parity map of 192 bits, since in one of 64 the maps of any two of them differ in few bits more than those of similar ones.
+LONG = 80
 
 
 def split(rows: DataFrame) -> DataFrame:
@@ -72,7 +84,8 @@ def later_copies(each: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def with_keys(each: DataFrame, late: DataFrame, copied: DataFrame) -> DataFrame:
     """One row for each class of LEAST_JOINED words or more: the place of its first line, n, copies (its lines), parity
-    (64 bits, 1 if an odd number of words falls on it) and keys. Stored."""
+    (64 bits, 1 if an odd number of words falls on it), wide (null up to LONG words; else two more such maps, each of another
+    third of the words) and keys. Stored."""
     counts = rarity(each)
     asked = each.where(F.col("n") >= LEAST_JOINED).select(*PLACE, "n", "tokens")
     # later copies go by their places alone, so that their tokens are not shuffled; missed are those that only seem to be ones
@@ -89,18 +102,27 @@ def with_keys(each: DataFrame, late: DataFrame, copied: DataFrame) -> DataFrame:
     one = one.select(*PLACE, "n", "copies", F.sort_array(F.transform("tokens", lambda x: F.shiftleft(level(x), 32) + x)).alias("order"))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
     parity = F.aggregate("order", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
-    pairs = F.expr(PAIRS)
-    keys = F.zip_with(F.slice("order", F.lit(1), pairs), F.slice("order", F.lit(2), pairs), lambda x, y: F.xxhash64(x, y))
-    out = store(one.select(*PLACE, "n", "copies", parity.alias("parity"), keys.alias("keys")))
+    third = lambda k: F.aggregate("order", F.lit(0).cast("long"), lambda acc, x: F.when(F.pmod(F.shiftright(x, 6), F.lit(3)) == k, acc.bitwiseXOR(bit(x))).otherwise(acc))
+    wide = F.when(F.col("n") > LONG, F.array(third(0), third(1)))
+    short = lambda x, y: F.xxhash64(x, y).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+    part = lambda at, many: F.slice("order", F.lit(at), many)
+    many = F.least(F.expr(RUNS), F.col("n") - 2)
+    runs = F.zip_with(F.zip_with(part(1, many), part(2, many), lambda x, y: F.xxhash64(x, y)), part(3, many), short)
+    pairs = F.zip_with(part(1, F.expr(PAIRS)), part(2, F.expr(PAIRS)), short)
+    # the place of a key in the order is its place among the keys, of a set of five words by the number of its runs
+    keys = F.when(F.col("n") < PAIRED, pairs).when(F.col("n") == PAIRED, F.concat(runs, pairs)).otherwise(runs)
+    out = store(one.select(*PLACE, "n", "copies", parity.alias("parity"), wide.alias("wide"), keys.alias("keys")))
     discard(missed)
     return out
 
 
 def fits(a: str, b: str) -> str:
-    """The filters of two rows with the same key, in SQL: length, words left beside the pair that they can share, parity."""
+    """The filters of two rows with the same key, in SQL: length, words before the key and from it on that they can share, parity."""
     share = OVERLAP.format(a=f"{a}.n", b=f"{b}.n")
     left = f"least({a}.pos, {b}.pos) + least({a}.n - {a}.pos, {b}.n - {b}.pos)"
-    return f"5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) AND {left} >= {share} AND bit_count({a}.parity ^ {b}.parity) <= {a}.n + {b}.n - 2 * ({share})"
+    differ, (first, second) = f"{a}.n + {b}.n - 2 * ({share})", [f"({a}.wide[{k}] ^ {b}.wide[{k}])" for k in range(2)]
+    wide = f"bit_count({first}) + bit_count({second}) + bit_count({a}.parity ^ {b}.parity ^ {first} ^ {second}) <= {differ}"
+    return f"5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) AND {left} >= {share} AND bit_count({a}.parity ^ {b}.parity) <= {differ} AND coalesce({wide}, true)"
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -119,37 +141,46 @@ def similar(rows: DataFrame, keyed: DataFrame) -> DataFrame:
     """keyed: what with_keys gives, discarded here. The places of the classes that are similar to an earlier one.
 
     One earlier match decides, and in a large group of alike lines most match the line that has most copies or one of those just
-    before them. So each line is first held against the two lines before it, the earliest and the most copied of each of its keys. Only lines that
+    before them. So each line is first held against the BESIDE lines before it, the earliest and the most copied of each of its keys. Only lines that
     these don't decide are held against all earlier lines of a key, so that the pairs grow with the lines and not with the square of a group's size.
     Neighbours, earliest and most copied are those of a cell, which takes one shuffle for nearly all keys; only keys of several cells also look for
     the earliest and most copied of all their cells.
     """
     shared = store(keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    every = keyed.select(*PLACE, "n", "copies", "parity", "keys", F.posexplode("keys").alias("pos", "key")).withColumn("before", F.get("keys", F.col("pos") - 1)).drop("keys")
-    every = only(every, shared, ["key"]).join(shared, "key")
-    # a key of very many lines is dealt out in cells
-    cells = F.ceil(F.col("size") / CELL).cast("int")
-    every = store(every.select("key", cells.alias("cells"), F.pmod(F.xxhash64(*PLACE), cells).cast("int").alias("cell"), "size", "copies", F.struct(F.struct(*PLACE).alias("place"), "n", "pos", "before", "parity").alias("x")))
+    every = keyed.select(*PLACE, "n", "copies", "parity", "wide", "keys", F.posexplode("keys").alias("pos", "key")).withColumn("before", F.get("keys", F.col("pos") - 1)).drop("keys")
+    every = every.withColumn("pos", F.when(F.col("n") == PAIRED, F.col("pos") % (PAIRED - 2)).otherwise(F.col("pos")))
+    x = F.struct(F.struct(*PLACE).alias("place"), "n", "pos", "before", "parity", "wide")
+
+    def beside(keys: DataFrame, *cell: str) -> DataFrame:
+        """The rows of keys, with y: the places of the lines beside them that the filters let through. Rows that are not needed again go."""
+        cells = F.ceil(F.col("size") / CELL).cast("int")
+        rows = only(every, keys, ["key"]).join(keys, "key").select("key", cells.alias("cells"), F.pmod(F.xxhash64(*PLACE), cells).cast("int").alias("cell"), "size", "copies", x.alias("x"))
+        near = W.partitionBy("key", *cell).orderBy("x.place")
+        whole = near.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        lags = [F.lag("x", k).over(near).alias(f"y{k}") for k in range(1, BESIDE + 1)]
+        most, least = F.max_by("x", F.struct("copies", "x.place")).over(whole), F.first("x").over(whole)
+        rows = rows.select("*", *lags, F.when(F.col("size") > ALL_HELD, most).alias("most"), F.when(F.col("size") > BESIDE + 1, least).alias("least"), F.row_number().over(near).alias("row"))
+        y = [F.expr(f"CASE WHEN {y}.place < x.place AND {fits('x', y)} THEN {y}.place END") for y in [*[f"y{k}" for k in range(1, BESIDE + 1)], "most", "least"]]
+        return rows.select("key", "cells", "cell", "size", "copies", "row", "x", F.array_compact(F.array(*y)).alias("y")).where(f"size > {ALL_HELD} OR size(y) > 0")
+
+    # rows come to a join in order of their keys, so that those of a key that fits in a cell need no other shuffle
+    made = beside(shared.where(F.col("size") <= CELL))
+    if not (large := shared.where(F.col("size") > CELL)).isEmpty():
+        made = made.unionByName(beside(large, "cell"))
+    every = store(made)
     discard(keyed, shared)
-    cell = W.partitionBy("key", "cell")
-    near = cell.orderBy("x.place")
-    whole = near.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    most, least = F.max_by("x", F.struct("copies", "x.place")).over(whole), F.first("x").over(whole)
-    beside = every.select("x", "size", F.lag("x", 1).over(near).alias("one"), F.lag("x", 2).over(near).alias("two"), most.alias("most"), least.alias("least"))
-    # of three lines or fewer each is so held against all before it
-    more = F.when(F.col("size") > 3, F.array("most", "least")).otherwise(F.slice(F.array("most", "least"), 1, 0))
-    beside = beside.select("x", F.explode(F.concat(F.array("one", "two"), more)).alias("y")).where("y is not null")
-    rest = every.where("size > 3")
+    beside_it = every.select(F.col("x.place").alias("x"), F.explode("y").alias("y"))
+    rest = every.where(f"size > {ALL_HELD}").drop("y")
     large = rest.where("cells > 1")
     middle = large.groupBy("key").agg(F.max_by("x", F.struct("copies", "x.place")).alias("most"), F.min_by("x", "x.place").alias("least"))
-    beside = beside.unionByName(large.join(middle, "key").select("x", F.explode(F.array("most", "least")).alias("y")))
+    large = large.join(middle, "key").select(F.col("x").withField("before", F.lit(None).cast("long")).alias("x"), F.explode(F.array("most", "least")).alias("y"))
     # two lines that share the key before have been found there
     found = lambda df: df.where(F.expr(f"y.place < x.place AND coalesce(x.before != y.before, true) AND {fits('x', 'y')}")).select(F.col("x.place").alias("x"), F.col("y.place").alias("y")).distinct()
-    pairs = store(found(beside.withColumn("x", F.col("x").withField("before", F.lit(None).cast("long")))))
+    pairs = store(beside_it.unionByName(found(large)).distinct())
     decided = verified(pairs, rows)
     discard(pairs)
 
-    may, cannot = may_and_cannot(rest.select("*", "x.place.*"), decided, PLACE)
+    may, cannot = may_and_cannot(rest.where(f"cells > 1 OR row > {ALL_HELD}").select("*", "x.place.*"), decided, PLACE)
     asking = may.join(decided, PLACE, "left_anti").unionByName(cannot).select("key", "x", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
     pairs = store(found(asking.join(rest.select("key", "cell", F.col("x").alias("y")), ["key", "cell"])))
     more = verified(pairs, rows)
@@ -169,9 +200,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     too they are one document, each of whose rows loses the same lines; lines of any length are compared whole; an empty
     table gives no rows; a column of docs called n_lines or n_removed is replaced.
     """
-    h = F.coalesce(F.xxhash64("text", F.col("doc_id").isNull()), F.lit(0))
     base = docs.drop("n_lines", "n_removed")
-    rows = base.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), h.alias("h"), F.col("text"))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    # it only tells rows of equal doc_id apart, and takes room in every table
+    once = base.groupBy(doc.alias("id")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1).isEmpty()
+    h = F.lit(0).cast("long") if once else F.coalesce(F.xxhash64("text", F.col("doc_id").isNull()), F.lit(0))
+    rows = base.select(doc.alias("id"), h.alias("h"), F.col("text"))
     each = store(lines(rows))
     late, copied = later_copies(each)
     keyed = with_keys(each, late, copied)
@@ -179,13 +213,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = late.unionByName(similar(rows, keyed))
     removed = store(gone.groupBy("id", "h").agg(F.collect_set("line_no").alias("removed")))
     # texts that lose nothing are not shuffled
-    whole = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), h.alias("h"))
+    whole = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"), doc.alias("id"), h.alias("h"))
     may, cannot = may_and_cannot(whole, removed, ["id", "h"])
     both = may.join(removed, ["id", "h"], "left").select("row", "removed").unionByName(cannot.select("row", F.lit(None).cast("array<int>").alias("removed")))
-    all_lines = F.split(F.col("row.text"), "\n")
-    n = F.when(F.coalesce(F.col("row.text"), F.lit("")) == "", 0).otherwise(F.size(all_lines))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("removed")), lambda i: F.get(F.col("lines"), i))
-    both = both.select("row", "removed", all_lines.alias("lines"), n.cast("long").alias("n_lines"))
+    # counted by bytes, since most texts need not be split
+    n = F.octet_length("row.text") - F.octet_length(F.replace(F.col("row.text"), F.lit("\n"), F.lit(""))) + 1
+    n = F.when(F.coalesce(F.col("row.text"), F.lit("")) == "", 0).otherwise(n)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed")), lambda i: F.get(F.col("lines"), i))
+    both = both.select("row", "removed", F.when(F.col("removed").isNotNull(), F.split("row.text", "\n")).alias("lines"), n.cast("long").alias("n_lines"))
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     cols = [text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in base.columns]
     return both.select(*cols, "n_lines", F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"))

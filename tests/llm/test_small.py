@@ -195,6 +195,28 @@ def test_short_lines(spark):
     assert {d: (r.text, r.n_removed) for d, r in got.items()} == {0: (rows[0][1], 0), 1: ("les.\n", 4), 2: ("a b d\n \nx y", 2)}
 
 
+def test_few_words(spark):
+    """Sets of four to twelve words that differ in a few, at the ends of their order or within it, against all pairs."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(14)]
+    rows = [(k, "\n".join(" ".join(rng.sample(base, rng.randint(4, 12)) + [f"z{rng.randint(0, 400)}"] * rng.randint(0, 1)) for _ in range(3))) for k in range(60)]
+    gone = lines_removed(rows)
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(table(spark, rows)).collect()}
+    assert got == {d: len(gone.get(d, ())) for d, _ in rows} and 10 < len(gone) < 60
+
+
+def test_long_lines_of_common_words(spark, monkeypatch):
+    """Long lines that have words, but no more, in common are told apart before their words are compared."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(rng.sample(base, 170))) for k in range(60)]
+    rows.append((60, " ".join(sorted(rows[7][1].split()[:150]))))
+    pairs, verified = [], linededup.verified
+    monkeypatch.setattr(linededup, "verified", lambda some, *x: pairs.append(some.count()) or verified(some, *x))
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(table(spark, rows)).collect()}
+    assert got == {k: int(k == 60) for k in range(61)} and sum(pairs) < 20
+
+
 def test_lines_of_odd_rows(spark):
     docs = table(spark)
     out = linededup.dedup_lines(docs)
